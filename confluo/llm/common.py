@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,14 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def worker_cache(key: Hashable, make: Callable[[], Any]) -> Any:
+    """An object kept in the Python worker from task to task."""
+    kept = sys.modules.setdefault("_confluo_worker", types.ModuleType("_confluo_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,3 +62,6 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """The evaluation fold: crc32(doc_id as text) mod 5 = 0. A null id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+ship(__name__)

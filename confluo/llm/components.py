@@ -1,0 +1,27 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` (a long, b long) -> (id, label): label is the smallest id that can be reached. Ids without an
+    edge are left out. Nothing is collected; each step is kept in shared storage; the number of steps grows
+    with the logarithm of the diameter."""
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
+        e = cut(small.select("s.u", "s.v").where("u <> v").distinct(), "edges")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).union(e.select("v", "v").distinct())
+        before = now

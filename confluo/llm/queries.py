@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, url_filter
+from . import chat, decontaminate, near_dup, token_store, url_filter
 
-MODULES = [url_filter, chat, decontaminate]
+MODULES = [token_store, url_filter, near_dup, chat, decontaminate]
 
 
 def queries() -> dict:
