@@ -13,7 +13,7 @@ again, on any storage that Spark knows). A row holds whole documents in ascendin
 A block's width is that of its 90th percentile after the minimum is taken off; larger values are exceptions.
 
 Defined results: a null text is encoded as an empty one (one end id); repeated rows each keep their ids; rows
-of one doc_id go by their ids; a null doc_id sorts first.
+of one doc_id go by their texts; a null doc_id sorts first.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, ship, table, worker_cache
+from .common import scratch, ship, table, worker_cache
 
 BLOCK = 128
 HEAD = 7
@@ -52,6 +52,7 @@ class Encoder:
 
         self.t = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         added = [t.content for t in self.t.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([ODD.pattern, *map(re.escape, added)]))
         kind = __import__("json").loads(self.t.to_str())
@@ -64,21 +65,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
         cut_up = [None if not self.by_chunk or self.whole.search(t) else CHUNK.findall(t) for t in texts]
-        need = set().union(*(c for c in cut_up if c)) - self.cache.keys()
-        if len(self.cache) + len(need) > CACHE_CHUNKS:
-            self.cache.clear()
-            need = set().union(*(c for c in cut_up if c))
-        new = list(need)
-        ids = dict(zip(new, self._batch(new), strict=True))
-        self.cache.update(ids if len(ids) < CACHE_CHUNKS else {})
-        get = self.cache if len(ids) < CACHE_CHUNKS else ids
-        out = [b"" if c is None else b"".join(map(get.__getitem__, c)) for c in cut_up]
+        found = [None if c is None else list(map(self.cache.get, c)) for c in cut_up]
+        need = {c for cs, fs in zip(cut_up, found, strict=True) if cs and None in fs for c, f in zip(cs, fs, strict=True) if f is None}
+        ids = {c: self.older[c] for c in need & self.older.keys()}
+        new = list(need - ids.keys())
+        ids.update(zip(new, self._batch(new), strict=True))
+        out = [b"" if c is None else b"".join(f if None not in f else [ids[k] if v is None else v for k, v in zip(c, f, strict=True)]) for c, f in zip(cut_up, found, strict=True)]
         whole = [i for i, c in enumerate(cut_up) if c is None]
         for i, b in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
             out[i] = b
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                self.cache.pop(c, None)
+        self.cache.update((c, b) for c, b in ids.items() if len(c) <= CACHE_CHARS)
+        if len(self.cache) > CACHE_CHUNKS:  # chunks that are not met again for a whole generation are forgotten
+            self.cache, self.older = {}, self.cache
         return out
 
 
@@ -141,28 +139,19 @@ def unpack(payload: bytes, index: bytes, first: int = 0, last: int | None = None
     return v[np.arange(BLOCK) < n_ids[:, None]].astype(np.uint32)
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """doc_id and the ids (u32, little-endian, with the end id) of every whole text."""
-    end = np.asarray([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer))
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [x + end for x in e.encode([t or "" for t in part["text"].to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 SEGMENTS = "shard int, seg int, shard_offset long, n_tokens long, doc_ids array<long>, doc_sizes array<long>, starts binary, payload binary"
 
 
-def write(encoded: DataFrame, path: str) -> None:
-    """Write encoded documents as segments in ascending doc_id order."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
+    """Encode every whole text of (doc_id, text), append ``end_id``, and write segments in ascending doc_id order.
+
+    The texts are dealt to ranges of doc_id before they are encoded: each is encoded once, and only texts, not ids,
+    are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer))
+        end = np.asarray([end_id], "<u4").tobytes()
         shard, seg, offset = TaskContext.get().partitionId(), 0, 0
         docs, parts, held = [], [], 0
 
@@ -172,18 +161,21 @@ def write(encoded: DataFrame, path: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols], [c.split()[0] for c in SEGMENTS.split(", ")])
 
         for b in batches:
-            for doc, ids in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                docs.append(doc)
-                parts.append(ids)
-                held += len(ids) // 4
-                if held >= SEGMENT_IDS:
-                    yield close()
-                    seg, offset = seg + 1, offset + held
-                    docs, parts, held = [], [], 0
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode([t or "" for t in part["text"].to_pylist()]), strict=True):
+                    docs.append(doc)
+                    parts.append(ids + end)
+                    held += len(ids) // 4 + 1
+                    if held >= SEGMENT_IDS:
+                        yield close()
+                        seg, offset = seg + 1, offset + held
+                        docs, parts, held = [], [], 0
         if docs:
             yield close()
 
-    encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, SEGMENTS).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -213,8 +205,6 @@ ship(__name__)
 def op3_token_blocks(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    # Encoded once and kept: the range partitioning below samples its input before it reads it.
-    ids = cut(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "ids")
     path = scratch(spark, "tokens")
-    write(ids, path)
+    write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
