@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, near_dup, token_store, topk, url_filter
+from . import chat, decontaminate, near_dup, quality, token_store, topk, toxicity, url_filter
 
-MODULES = [topk, token_store, url_filter, near_dup, chat, decontaminate]
+MODULES = [topk, token_store, url_filter, toxicity, near_dup, quality, chat, decontaminate]
 
 
 def queries() -> dict:
