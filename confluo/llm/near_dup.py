@@ -7,11 +7,12 @@ documents are sketched alike. ``ROWS`` registers make a band; two documents of s
 32 bands with a probability of 5e-6.
 
 Steps: equal sets collapse into one node first (a group of copies costs one row). In each band bucket every node
-is paired with the smallest one, never all with all. Pairs pass a collision-corrected Jaccard estimate from the
-sketches (six standard deviations below the threshold) and are then confirmed on the full sets of the whole
-texts. Confirmed links are contracted to components. Only buckets that still hold several components go on: small
-ones compare the members of different components; large ones are split by the other bands of their members and
-go through the same steps again. So no partner is dropped and no bucket is capped.
+is paired with a pivot, never all with all: first the smallest id, then others drawn by hash, which meet only nodes
+outside their component. Pairs pass a collision-corrected Jaccard estimate from the sketches (six standard
+deviations below the threshold) and are then confirmed on the full sets of the whole texts; links are contracted to
+components after each step. Buckets that still hold several components, but few pairs across them, compare all
+those pairs; the others are split by the other bands of their members and go through the same steps again. So no
+partner is dropped and no bucket is capped.
 
 Defined results: a text without words (null, empty) has an empty set and no link; rows with a null doc_id take
 part in no link, have a null component and are kept; repeated rows of a doc_id each get a row. Other columns of
@@ -21,7 +22,6 @@ the input are ignored by ``groups`` and kept by ``dedup``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ PERCENT = 75
 ROWS, BANDS = 4, 32
 BUCKETS = ROWS * BANDS
 MARGIN = 0.23  # six standard deviations of the estimate at 0.75
-SMALL = 32
-LEVELS = 4
+TURNS = 2  # further pivots of a bucket before its pairs are counted
+SMALL = 16  # cross pairs for each member up to which a bucket is compared in full
+LEVELS = 3
 BROADCAST_IDS = 4_000_000  # 32 MB; more ids are joined by a shuffle
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,42 +173,62 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"), "links")
 
 
+def _opened(held: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, label, size, cross) of the buckets that hold several components; cross counts the pairs of members
+    of different components."""
+    named = held.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    each = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_ = each.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("parts")).where("parts > 1")
+    return cut(named.join(open_.select("key", "size", ((F.col("size") * F.col("size") - F.col("square")) / 2).cast("long").alias("cross")), "key"), "open")
+
+
+class _Links:
+    """What has been compared so far, and the components that follow from it."""
+
+    def __init__(self, nodes: DataFrame, docs: DataFrame):
+        self.nodes, self.docs = nodes, docs
+        self.seen = nodes.sparkSession.createDataFrame([], "a long, b long")
+        self.label = nodes.sparkSession.createDataFrame([], "id long, label long")
+
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(self.seen, ["a", "b"], "left_anti"), "new")
+        self.seen = self.seen.union(pairs)
+        if not pairs.isEmpty():
+            links = _verify(pairs, self.nodes, self.docs)
+            self.label = cut(components(self.label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links)), "labels")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept of each row."""
     rows = cut(sketches(docs), "sketches")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     # One node per distinct set, named by its smallest doc_id.
     nodes = cut(some.groupBy("fp").agg(F.min(F.struct("doc_id", "regs")).alias("s")).select(F.col("s.doc_id").alias("id"), "fp", F.col("s.regs").alias("regs")), "nodes")
-    edges: list[DataFrame] = []
-    seen: DataFrame | None = None
+    links = _Links(nodes, docs)
     buckets = band_rows(nodes)
-    label: DataFrame | None = None
     for level in range(LEVELS):
         full = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
         held = cut(buckets.join(full, "key").distinct(), "buckets")
-        star = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-        star = cut(star.join(seen, ["a", "b"], "left_anti") if seen is not None else star, "star")
-        seen = star if seen is None else seen.union(star)
-        edges.append(_verify(star, nodes, docs))
-        label = cut(components(reduce(DataFrame.union, edges)), "labels")
-        # Buckets that hold several components and more than the pair that has been compared.
-        held = held.where("size > 2").join(label, "id", "left").select("key", "id", "lead", F.coalesce("label", "id").alias("label"))
-        open_ = held.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 <> l1").drop("l0", "l1")
-        held = cut(held.join(open_, "key"), "open")
-        rest = held.where(F.col("size") <= SMALL) if level < LEVELS - 1 else held
-        one, two = (rest.select("key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-        pairs = one.join(two, "key").where("a < b AND la <> lb").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "rest")
-        seen = seen.union(pairs)
-        edges.append(_verify(pairs, nodes, docs))
-        large = held.where(F.col("size") > SMALL).select("key", "id")
-        if level == LEVELS - 1 or large.isEmpty():
+        links.compare(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
+        held = _opened(held.where("size > 2"), links.label)
+        for turn in range(TURNS):
+            # Another pivot, drawn by hash: it meets the members of other components only.
+            if held.isEmpty():
+                break
+            pivot = held.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64(F.lit(turn), "key", "id")).alias("p"))
+            links.compare(held.join(pivot, "key").where("label <> p.label").select(F.col("p.id").alias("a"), F.col("id").alias("b")))
+            held = _opened(held, links.label)
+        # Where few pairs are left for the members, all of them are compared.
+        few = (F.col("cross") <= SMALL * F.col("size")) if level < LEVELS - 1 else F.lit(True)
+        one, two = (held.where(few).select("key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+        links.compare(one.join(two, "key").where("la < lb").select("a", "b"))
+        large = cut(held.where(~few).select("key", "id"), "large")
+        if large.isEmpty():
             break
         # Members of a large bucket meet again where another band agrees too.
         other = band_rows(_among(nodes, large, "id")).select("id", F.col("key").alias("other"))
-        buckets = large.join(other, "id").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "id")
-    label = cut(components(reduce(DataFrame.union, edges)), "labels")
-    named = nodes.select("fp", "id").join(label, "id", "left").select("fp", F.coalesce("label", "id").alias("label"))
+        buckets = large.join(other, "id").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
+    named = nodes.select("fp", "id").join(links.label, "id", "left").select("fp", F.coalesce("label", "id").alias("label"))
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
