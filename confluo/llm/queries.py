@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, near_dup, quality, token_store, topk, toxicity, url_filter
+from . import chat, decontaminate, near_dup, pieces, quality, token_store, topk, toxicity, url_filter
 
-MODULES = [topk, token_store, url_filter, toxicity, near_dup, quality, chat, decontaminate]
+MODULES = [pieces, topk, token_store, url_filter, toxicity, near_dup, pieces, quality, chat, decontaminate]
 
 
 def queries() -> dict:
