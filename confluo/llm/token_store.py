@@ -37,11 +37,14 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 16
 CACHE_CHUNKS = 300_000  # per worker; texts repeat words, so few chunks reach the tokenizer
 CACHE_CHARS = 64
-#: A run of blanks and the non-blanks after it. Byte-level pre-tokenization never joins a non-blank with a
-#: blank after it, so the ids of a text are those of its chunks. Texts where the two libraries could differ
-#: about blanks, or that hold an added token, are encoded whole.
-CHUNK = re.compile(r"\s*\S+|\s+")
+#: Texts are cut into chunks, and the ids of a text are those of its chunks: byte-level pre-tokenization never joins a
+#: non-blank with a blank after it, nor a letter with an ASCII sign or digit after it. Letters are those of which no
+#: Unicode version doubts it. Texts where two libraries could differ about blanks, or that hold an added token, are
+#: encoded whole.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+CHUNK = re.compile(rf"\s*[^\s{LETTER}]*[{LETTER}]+(?=[\s!-@\[-`{{-~]|\Z)|\s*\S+|\s+")
 ODD = re.compile(r"[\x1c-\x1f\x85]")
+JOINED = 256
 
 
 class Encoder:
@@ -53,7 +56,10 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        added = [t.content for t in self.t.get_added_tokens_decoder().values()]
+        tokens = self.t.get_added_tokens_decoder()
+        added = [t.content for t in tokens.values()]
+        # An added token keeps what stands beside it apart, so chunks are encoded many at a time.
+        self.bar = next(((i, t.content) for i, t in sorted(tokens.items()) if not (t.lstrip or t.rstrip or t.single_word)), None)
         self.whole = re.compile("|".join([ODD.pattern, *map(re.escape, added)]))
         kind = __import__("json").loads(self.t.to_str())
         pre = kind.get("pre_tokenizer") or {}
@@ -62,6 +68,18 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if self.bar is None:
+            return self._batch(chunks)
+        out = []
+        joined = [self.bar[1].join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        for e in self.t.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.bar[0])).tolist()
+            raw = ids.tobytes()
+            out += [raw[s:t] for s, t in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
         cut_up = [None if not self.by_chunk or self.whole.search(t) else CHUNK.findall(t) for t in texts]
@@ -69,7 +87,7 @@ class Encoder:
         need = {c for cs, fs in zip(cut_up, found, strict=True) if cs and None in fs for c, f in zip(cs, fs, strict=True) if f is None}
         ids = {c: self.older[c] for c in need & self.older.keys()}
         new = list(need - ids.keys())
-        ids.update(zip(new, self._batch(new), strict=True))
+        ids.update(zip(new, self._chunks(new), strict=True))
         out = [b"" if c is None else b"".join(f if None not in f else [ids[k] if v is None else v for k, v in zip(c, f, strict=True)]) for c, f in zip(cut_up, found, strict=True)]
         whole = [i for i, c in enumerate(cut_up) if c is None]
         for i, b in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
@@ -105,8 +123,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
     small = np.where(out_of, 0, v)
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = ((small[rows, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(rows), BLOCK * w)
-        out[starts[rows, None] + HEAD + np.arange(BLOCK // 8 * w)] = np.packbits(bits, axis=1, bitorder="little")
+        out[starts[rows, None] + HEAD + np.arange(BLOCK // 8 * w)] = _pack(small[rows], int(w))
     b, pos = np.nonzero(out_of)
     if len(b):
         rank = np.arange(len(b)) - np.searchsorted(b, b)
@@ -116,6 +133,24 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
     return out.tobytes(), starts.astype("<u4").tobytes()
 
 
+def _pack(v: np.ndarray, w: int) -> np.ndarray:
+    """Rows of BLOCK numbers below 2**w as little-endian bits; eight of them make w bytes."""
+    eight = v.astype(np.uint64).reshape(-1, 8)
+    words = np.zeros((len(eight), 5), np.uint64)  # the last takes what is shifted out, which is nothing
+    for k in range(8):
+        word, shift = divmod(k * w, 64)
+        words[:, word] |= eight[:, k] << np.uint64(shift)
+        if shift + w > 64:
+            words[:, word + 1] |= eight[:, k] >> np.uint64(64 - shift)
+    return words.view(np.uint8).reshape(len(eight), 40)[:, :w].reshape(len(v), BLOCK // 8 * w)
+
+
+def _windows(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    return np.ndarray((len(raw),), "<u8", padded, 0, (1,))
+
+
 def unpack(payload: bytes, index: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of the blocks first..last (all by default); only those blocks are read."""
     raw, starts = np.frombuffer(payload, np.uint8), np.frombuffer(index, "<u4").astype(np.int64)[first:last]
@@ -125,10 +160,12 @@ def unpack(payload: bytes, index: bytes, first: int = 0, last: int | None = None
     low = np.ascontiguousarray(head[:, :4]).view("<u4")[:, 0].astype(np.int64)
     width, n_ids, exc = head[:, 4].astype(np.int64), head[:, 5].astype(np.int64), head[:, 6].astype(np.int64)
     v = np.zeros((len(starts), BLOCK), np.int64)
+    # every eight bytes of the payload as a number, at any byte
+    window = _windows(raw)
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(raw[starts[rows, None] + HEAD + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little")
-        v[rows] = (bits.reshape(-1, w).astype(np.float64) @ (2.0 ** np.arange(w))).reshape(len(rows), BLOCK).astype(np.int64)
+        bit = np.arange(BLOCK) * w
+        v[rows] = (window[(starts[rows] + HEAD)[:, None] + (bit >> 3)] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << int(w)) - 1)
     b = np.repeat(np.arange(len(starts)), exc)
     if len(b):
         rank = np.arange(len(b)) - np.searchsorted(b, b)
@@ -196,7 +233,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).parquet(path)
     before = F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per shard
     base = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", before.alias("base"))
-    return segments.join(base, "shard").drop("shard", "seg").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    # A row per range partition, so this is as small as the number of tasks that wrote.
+    return segments.join(F.broadcast(base), "shard").drop("shard", "seg").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 ship(__name__)
