@@ -1,6 +1,6 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Two states, clean and toxic. A token's emission is a sum of hashed weights of the word, its prefixes, and the words
+Two states, clean and toxic. A token's emission is a sum of the weights of the word, its prefixes, and the words
 beside it; two-by-two transition weights tie neighbours. Forward-backward marginals give each token's probability;
 they aggregate to the document score by a logistic over the largest marginal, the expected number of toxic tokens
 and their share; runs of tokens of at least one half are the offending spans (code point offsets).
@@ -31,10 +31,11 @@ from .common import held_out, ship, table
 from .quality import bounded
 
 SAMPLE = 1500
-BITS = 18
 PREFIXES = (4, 5, 6)
-MIN_DOCS, MAX_CLEAN = 4, 0.02
-EPOCHS, RATE, DECAY = 12, 0.3, 1e-6
+WIDTH = len(PREFIXES) + 1  # features of a word for its own token
+MIN_DOCS, MIN_SHARE, MAX_CLEAN = 12, 0.02, 0.01
+SEGMENT = 256  # tokens of a training sequence
+EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.3, 1e-4
 GROUP = 512
 WORDS_KEPT = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,22 +51,23 @@ def word_keys(word: str) -> list[str]:
     return [f"w {word}", *[f"{n} {word[:n]}" for n in PREFIXES if len(word) >= n]]
 
 
-def slots(word: str) -> tuple[list[int], int, int]:
-    """Weight slots of a word for its own token, the token after and the token before it."""
-    h = lambda s: xxhash.xxh3_64_intdigest(s) & ((1 << BITS) - 1)
-    return [h(k) for k in word_keys(word)], h("< " + word), h("> " + word)
-
-
 @dataclass
 class Model:
-    weights: np.ndarray  # 2**BITS of the toxic state against the clean one
+    vocabulary: dict[str, int]  # features that enough training documents hold
+    weights: np.ndarray  # of the toxic state against the clean one; the last is 0 and stands for no feature
     bias: float
     moves: np.ndarray  # 2 x 2, log
     head: np.ndarray  # logistic over document aggregates
 
+    def slots(self, word: str) -> list[int]:
+        """Weight slots of a word for its own token (padded), for the token after and for the one before it."""
+        get, none = self.vocabulary.get, len(self.weights) - 1
+        own = [get(k, none) for k in word_keys(word)]
+        return [*own, *[none] * (WIDTH - len(own)), get("< " + word, none), get("> " + word, none)]
+
     def word(self, word: str) -> tuple[float, float, float]:
-        own, after, before = slots(word)
-        return float(self.weights[own].sum()), float(self.weights[after]), float(self.weights[before])
+        s = self.slots(word)
+        return float(self.weights[s[:WIDTH]].sum()), float(self.weights[s[-2]]), float(self.weights[s[-1]])
 
     def score(self, aggregates: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(aggregates @ self.head[:-1] + self.head[-1]).clip(-30, 30)))
@@ -138,13 +140,22 @@ def aggregate(p: np.ndarray) -> list[float]:
     return [float(p.max()), float(np.log1p(p.sum())), float(np.sqrt(p.mean()))] if len(p) else [0.0, 0.0, 0.0]
 
 
-def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
+def feature_counts(docs: list[list[str]], toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """In how many clean and toxic documents each word feature is."""
+    words, seen = (Counter(), Counter()), (Counter(), Counter())
+    for d, y in zip(docs, toxic, strict=True):
+        words[int(y)].update(set(d))
+        seen[int(y)].update({k for w in set(d) for k in word_keys(w)[1:]})
+    for c, s in zip(words, seen, strict=True):
+        s.update({f"w {w}": n for w, n in c.items()})
+    return seen
+
+
+def token_labels(docs: list[list[str]], toxic: np.ndarray, seen: tuple[Counter, Counter]) -> list[np.ndarray]:
     """Labels of tokens from labels of documents."""
-    seen = [Counter(), Counter()]
-    for words, y in zip(docs, toxic, strict=True):
-        seen[int(y)].update({k for w in set(words) for k in word_keys(w)})
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    marks = {k for k, n in seen[1].items() if n >= MIN_DOCS and seen[0][k] / n_clean <= MAX_CLEAN * n / n_toxic}
+    least = max(MIN_DOCS, MIN_SHARE * n_toxic)  # copies of one document must not make its words toxic
+    marks = {k for k, n in seen[1].items() if n >= least and seen[0][k] / n_clean <= MAX_CLEAN * n / n_toxic}
     memo: dict[str, bool] = {}
 
     def mark(w: str) -> bool:
@@ -158,74 +169,62 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Conditional log likelihood of the token labels by stochastic gradient ascent (Adagrad); then the head."""
     toxic = toxic.astype(bool)
-    model = Model(np.zeros(1 << BITS, np.float32), -4.0, np.asarray([[1.0, -1.0], [-1.0, 1.0]]), np.asarray([8.0, 0.0, 0.0, -4.0]))
+    moves, head = np.asarray([[1.0, -1.0], [-1.0, 1.0]]), np.asarray([8.0, 0.0, 0.0, -4.0])
+    if not toxic.any():
+        return Model({}, np.zeros(1, np.float32), -4.0, moves, head)
     docs = [tokens(t) for t in texts]
-    labels = token_labels(docs, toxic)
-    known: dict[str, tuple[list[int], int, int]] = {w: slots(w) for d in docs for w in set(d)}
-    width = len(PREFIXES) + 1
-    packed = []
+    seen = feature_counts(docs, toxic)
+    labels = token_labels(docs, toxic, seen)
+    total = seen[0] + seen[1]
+    kept = sorted(k for k, n in total.items() if n >= MIN_DOCS)
+    kept += [f"{side} {k[2:]}" for k in kept if k[0] == "w" for side in "<>"]
+    model = Model({k: i for i, k in enumerate(kept)}, np.zeros(len(kept) + 1), -4.0, moves, head)
+    ids: dict[str, int] = {}
     for d in docs:
-        own = np.full((len(d), width), -1, np.int64)
-        side = np.empty((len(d), 2), np.int64)
-        for i, w in enumerate(d):
-            s = known[w]
-            own[i, : len(s[0])] = s[0]
-            side[i] = s[1:]
-        packed.append((own, side))
-    if toxic.any():
-        w = np.zeros((1 << BITS) + 1)  # the last slot stands for no feature
-        g2, extra, extra2 = np.full(len(w), 1e-4), np.asarray([model.bias, *model.moves.ravel()]), np.full(5, 1e-2)
-        order = np.argsort([xxhash.xxh3_64_intdigest(t) for t in texts], kind="stable")
-        for _ in range(EPOCHS):
-            for at in range(0, len(order), 64):
-                part = [i for i in order[at : at + 64] if len(docs[i])]
-                if not part:
-                    continue
-                e = []
-                for i in part:
-                    own, side = packed[i]
-                    x = w[own].sum(axis=1) + extra[0]
-                    x[1:] += w[side[:-1, 0]]
-                    x[:-1] += w[side[1:, 1]]
-                    e.append(x)
-                moves = extra[1:].reshape(2, 2)
-                p, f, b = forward_backward(e, moves)
-                rows, vals, ge = [], [], np.zeros(5)
-                for i, pi, fi, bi, ei in zip(part, p, f, b, e, strict=True):
-                    y = labels[i]
-                    d = y - pi
-                    own, side = packed[i]
-                    rows += [own.ravel(), side[:-1, 0], side[1:, 1]]
-                    vals += [np.repeat(d, width), d[1:], d[:-1]]
-                    ge[0] += d.sum()
-                    x = np.exp(ei[1:].clip(-60, 60)) * bi[1:]
-                    m = np.exp(moves)
-                    joint = np.stack([np.full(len(x), m[0, 0]), m[0, 1] * x, m[1, 0] * fi[:-1], m[1, 1] * fi[:-1] * x])
-                    joint /= joint.sum(axis=0)
-                    for k, (s, t) in enumerate(TRANSITIONS):
-                        ge[1 + k] += ((y[:-1] == s) & (y[1:] == t)).sum() - joint[k].sum()
-                at_, back = np.unique(np.concatenate(rows), return_inverse=True)
-                g = np.bincount(back, np.concatenate(vals)) / len(part) - DECAY * w[at_]
-                g[at_ == -1] = 0
-                g2[at_] += g * g
-                w[at_] += RATE * g / np.sqrt(g2[at_])
-                w[-1] = 0
-                extra2 += (ge / len(part)) ** 2
-                extra = extra + 0.05 * (ge / len(part)) / np.sqrt(extra2)
-        model.weights, model.bias, model.moves = w[:-1].astype(np.float32), float(extra[0]), extra[1:].reshape(2, 2)
-        e = []
-        for own, side in packed:
-            x = w[own].sum(axis=1) + model.bias
-            x[1:] += w[side[:-1, 0]]
-            x[:-1] += w[side[1:, 1]]
-            e.append(x)
-        a = np.asarray([aggregate(p) for at in range(0, len(e), GROUP) for p in forward_backward(e[at : at + GROUP], model.moves)[0]])
-        h = model.head.copy()
-        x = np.c_[a, np.ones(len(a))]
-        for _ in range(2000):
-            s = 1 / (1 + np.exp(-(x @ h).clip(-30, 30)))
-            h += 2.0 * (x.T @ (toxic - s) / len(x) - 1e-4 * h)
-        model.head = h
+        for w in d:
+            ids.setdefault(w, len(ids))
+    slots = np.asarray([model.slots(w) for w in ids], np.int64)
+    packed = [slots[np.fromiter(map(ids.__getitem__, d), np.int64, len(d))] if d else np.empty((0, WIDTH + 2), np.int64) for d in docs]
+
+    def emissions(s: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+        x = w[s[:, :WIDTH]].sum(axis=1) + bias
+        x[1:] += w[s[:-1, -2]]
+        x[:-1] += w[s[1:, -1]]
+        return x
+
+    w, extra = model.weights, np.asarray([model.bias, *moves.ravel()])
+    g2, extra2 = np.full(len(w), 1e-4), np.full(5, 1e-2)
+    cuts = [(i, at) for i, d in enumerate(docs) for at in range(0, len(d), SEGMENT)]
+    order = [cuts[k] for k in np.argsort([xxhash.xxh3_64_intdigest(f"{i} {at}") for i, at in cuts], kind="stable")]
+    for _ in range(EPOCHS):
+        for at in range(0, len(order), BATCH):
+            part = [(packed[i][k : k + SEGMENT], labels[i][k : k + SEGMENT]) for i, k in order[at : at + BATCH]]
+            e = [emissions(s, w, extra[0]) for s, _ in part]
+            m = np.exp(extra[1:].reshape(2, 2))
+            rows, vals, ge = [], [], np.zeros(5)
+            for (s, y), pi, fi, bi, ei in zip(part, *forward_backward(e, extra[1:].reshape(2, 2)), e, strict=True):
+                d = y - pi
+                rows += [s[:, :WIDTH].ravel(), s[:-1, -2], s[1:, -1]]
+                vals += [np.repeat(d, WIDTH), d[1:], d[:-1]]
+                ge[0] += d.sum()
+                x = np.exp(ei[1:].clip(-60, 60)) * bi[1:]
+                joint = np.stack([np.full(len(x), m[0, 0]), m[0, 1] * x, m[1, 0] * fi[:-1], m[1, 1] * fi[:-1] * x])
+                joint /= joint.sum(axis=0)
+                for k, (u, v) in enumerate(TRANSITIONS):
+                    ge[1 + k] += ((y[:-1] == u) & (y[1:] == v)).sum() - joint[k].sum()
+            g = np.bincount(np.concatenate(rows), np.concatenate(vals), len(w)) / len(part) - DECAY * w
+            g[-1] = 0
+            g2 += g * g
+            w += RATE * g / np.sqrt(g2)
+            extra2 += (ge / len(part)) ** 2
+            extra = extra + 0.05 * (ge / len(part)) / np.sqrt(extra2)
+    model.weights, model.bias, model.moves = w.astype(np.float32), float(extra[0]), extra[1:].reshape(2, 2)
+    e = [emissions(s, w, extra[0]) for s in packed]
+    a = np.asarray([aggregate(p) for at in range(0, len(e), GROUP) for p in forward_backward(e[at : at + GROUP], model.moves)[0]])
+    x = np.c_[a, np.ones(len(a))]
+    for _ in range(2000):
+        s = 1 / (1 + np.exp(-(x @ model.head).clip(-30, 30)))
+        model.head = model.head + 2.0 * (x.T @ (toxic - s) / len(x) - 1e-4 * model.head)
     return model
 
 
@@ -241,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) -> (doc_id, score, spans array<struct<begin,end>>)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # 2**BITS weights: a fixed size
+    sent = spark.sparkContext.broadcast(model)  # as large as the training sample's vocabulary
 
     def spans(text: str, p: np.ndarray) -> list[dict]:
         out: list[dict] = []
