@@ -7,12 +7,12 @@ documents are sketched alike. ``ROWS`` registers make a band; two documents of s
 32 bands with a probability of 5e-6.
 
 Steps: equal sets collapse into one node first (a group of copies costs one row). In each band bucket every node
-is paired with a pivot, never all with all: first the smallest id, then others drawn by hash, which meet only nodes
-outside their component. Pairs pass a collision-corrected Jaccard estimate from the sketches (six standard
-deviations below the threshold) and are then confirmed on the full sets of the whole texts; links are contracted to
-components after each step. Buckets that still hold several components, but few pairs across them, compare all
-those pairs; the others are split by the other bands of their members and go through the same steps again. So no
-partner is dropped and no bucket is capped.
+is paired with the smallest one, never all with all. Pairs pass a collision-corrected Jaccard estimate from the
+sketches (more than four standard deviations below the threshold) and are then confirmed on the full sets of the whole
+texts; links are contracted to components. Buckets that still hold several components go on: blocks of their members
+are held against each other by their sketches inside a task, and only likely pairs of different components leave it:
+first the likeliest partner of each member, then, where components are still apart, all of them. So no partner is
+dropped, no bucket is capped, and no group's pairs are written out.
 
 Defined results: a text without words (null, empty) has an empty set and no link; rows with a null doc_id take
 part in no link, have a null component and are kept; repeated rows of a doc_id each get a row. Other columns of
@@ -29,18 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from ..operators.graph import components
 from .common import cut, ship, table
-from .components import components
 
 WIDTH = 5
 PERCENT = 75
 ROWS, BANDS = 4, 32
 BUCKETS = ROWS * BANDS
-MARGIN = 0.23  # six standard deviations of the estimate at 0.75
-TURNS = 2  # further pivots of a bucket before its pairs are counted
-SMALL = 16  # cross pairs for each member up to which a bucket is compared in full
-LEVELS = 3
+MARGIN = 0.16  # more than four standard deviations of the estimate at 0.75
+BLOCK = 1024  # members of a bucket that one task holds against as many others
 BROADCAST_IDS = 4_000_000  # 32 MB; more ids are joined by a shuffle
+BROADCAST_SKETCHES = 40_000  # 10 MB of 256 bytes each
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,13 +133,23 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def _among(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose column ``on`` is in ``ids`` (id), which is broadcast up to a checked size."""
-    ids = ids.select(F.col("id").alias(on)).distinct()
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+def _among(df: DataFrame, ids: DataFrame, on: str) -> tuple[int, DataFrame]:
+    """How many ``ids`` (id, distinct) there are, and the rows of ``df`` whose column ``on`` is one of them; the ids are
+    broadcast up to a checked number."""
+    ids = cut(ids.select(F.col("id").alias(on)), "ids")
+    n = ids.count()
+    return n, df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, "left_semi")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _both(pairs: DataFrame, df: DataFrame, column: str, small: bool) -> DataFrame:
+    """``pairs`` with ``column`` of their a and b, as <first letter>a and <first letter>b."""
+    for k in "ba":
+        side = df.select(F.col("id").alias(k), F.col(column).alias(column[0] + k))
+        pairs = pairs.join(F.broadcast(side) if small else side, k)
+    return pairs
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, estimated: bool) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,40 +171,89 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def ids(p: DataFrame) -> DataFrame:
-        return p.select(F.explode(F.array("a", "b")).alias("id"))
-
-    pairs = cut(pairs, "pairs")
-    regs = cut(_among(nodes.select("id", "regs"), ids(pairs), "id"), "regs")
-    side = lambda df, k, c: df.select(F.col("id").alias(k), F.col(c).alias(c[0] + k))
-    pairs = cut(pairs.join(side(regs, "a", "regs"), "a").join(side(regs, "b", "regs"), "b").mapInArrow(likely, "a long, b long"), "likely")
-    texts = cut(_among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids(pairs), "id"), "texts")
+        return p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    if not estimated:
+        n, regs = _among(nodes.select("id", "regs"), ids(pairs), "id")
+        small = n <= BROADCAST_SKETCHES
+        regs = regs if small else cut(regs, "regs")
+        pairs = cut(_both(pairs, regs, "regs", small).select("a", "b", "ra", "rb").mapInArrow(likely, "a long, b long"), "likely")
+    if pairs.isEmpty():
+        return pairs
+    texts = cut(_among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids(pairs), "id")[1], "texts")
     # sorted by a: the set of a is made once for a run of pairs
-    both = pairs.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a")
+    both = _both(pairs, texts, "text", False)
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"), "links")
 
 
 def _opened(held: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, id, label, size, cross) of the buckets that hold several components; cross counts the pairs of members
-    of different components."""
+    """(key, id, label, size) of the buckets that hold several components."""
     named = held.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    each = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_ = each.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("parts")).where("parts > 1")
-    return cut(named.join(open_.select("key", "size", ((F.col("size") * F.col("size") - F.col("square")) / 2).cast("long").alias("cross")), "key"), "open")
+    open_ = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    return cut(named.join(open_.select("key", "size"), "key"), "open")
+
+
+def _closest(held: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components that look similar enough by their sketches.
+
+    A bucket is dealt to tasks by pairs of blocks of ``BLOCK`` members at most. Members outside the block's most
+    frequent component are held against all others there; only likely pairs leave the task (the likeliest of each
+    such member, if ``best_only``).
+    """
+    ids = held.select("id").distinct()
+    n, regs = _among(nodes.select("id", "regs"), ids, "id")
+    regs = F.broadcast(regs) if n <= BROADCAST_SKETCHES else regs
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    rows = held.select("key", "id", "label", own.alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
+    rows = rows.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "label").join(regs, "id")
+
+    def pairs(ids: np.ndarray, labels: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, counts = np.unique(labels, return_counts=True)
+        found = []
+        for i in np.flatnonzero(labels != names[counts.argmax()]):
+            e = np.where(labels != labels[i], estimate(regs, regs[i]), 0)
+            j = np.asarray([e.argmax()]) if best_only else np.arange(len(e))
+            j = j[e[j] >= PERCENT / 100 - MARGIN]
+            found.append(np.stack([np.full(len(j), ids[i]), ids[j]]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+
+        def close() -> pa.RecordBatch:
+            t = pa.Table.from_batches(kept)
+            a, b = pairs(t["id"].to_numpy(), t["label"].to_numpy(), _registers(t["regs"]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                key = np.stack([batch[c].to_numpy() for c in ("key", "x", "y")])
+                cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+                for s, e in zip(cuts, cuts[1:], strict=False):
+                    if kept and tuple(key[:, s]) != now:
+                        yield close()
+                        kept = []
+                    now = tuple(key[:, s])
+                    kept.append(batch.slice(s, e - s))
+        if kept:
+            yield close()
+
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
 class _Links:
-    """What has been compared so far, and the components that follow from it."""
+    """The components that follow from what has been compared so far."""
 
     def __init__(self, nodes: DataFrame, docs: DataFrame):
         self.nodes, self.docs = nodes, docs
-        self.seen = nodes.sparkSession.createDataFrame([], "a long, b long")
         self.label = nodes.sparkSession.createDataFrame([], "id long, label long")
 
-    def compare(self, pairs: DataFrame) -> None:
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(self.seen, ["a", "b"], "left_anti"), "new")
-        self.seen = self.seen.union(pairs)
+    def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
+        pairs = cut(pairs.distinct(), "pairs")
         if not pairs.isEmpty():
-            links = _verify(pairs, self.nodes, self.docs)
+            links = _verify(pairs, self.nodes, self.docs, estimated)
             self.label = cut(components(self.label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links)), "labels")
 
 
@@ -206,28 +265,15 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = cut(some.groupBy("fp").agg(F.min(F.struct("doc_id", "regs")).alias("s")).select(F.col("s.doc_id").alias("id"), "fp", F.col("s.regs").alias("regs")), "nodes")
     links = _Links(nodes, docs)
     buckets = band_rows(nodes)
-    for level in range(LEVELS):
-        full = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
-        held = cut(buckets.join(full, "key").distinct(), "buckets")
-        links.compare(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-        held = _opened(held.where("size > 2"), links.label)
-        for turn in range(TURNS):
-            # Another pivot, drawn by hash: it meets the members of other components only.
-            if held.isEmpty():
-                break
-            pivot = held.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64(F.lit(turn), "key", "id")).alias("p"))
-            links.compare(held.join(pivot, "key").where("label <> p.label").select(F.col("p.id").alias("a"), F.col("id").alias("b")))
-            held = _opened(held, links.label)
-        # Where few pairs are left for the members, all of them are compared.
-        few = (F.col("cross") <= SMALL * F.col("size")) if level < LEVELS - 1 else F.lit(True)
-        one, two = (held.where(few).select("key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-        links.compare(one.join(two, "key").where("la < lb").select("a", "b"))
-        large = cut(held.where(~few).select("key", "id"), "large")
-        if large.isEmpty():
+    full = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    held = cut(buckets.join(full, "key"), "buckets")
+    links.compare(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    held = held.where("size > 2")
+    for best_only in (True, False):
+        held = _opened(held, links.label)
+        if held.isEmpty():
             break
-        # Members of a large bucket meet again where another band agrees too.
-        other = band_rows(_among(nodes, large, "id")).select("id", F.col("key").alias("other"))
-        buckets = large.join(other, "id").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
+        links.compare(_closest(held, nodes, best_only), estimated=True)
     named = nodes.select("fp", "id").join(links.label, "id", "left").select("fp", F.coalesce("label", "id").alias("label"))
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
@@ -242,6 +288,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 ship(__name__)
+ship(graph.__name__)
 
 
 def op6_near_dup(spark, sf_dir: str) -> DataFrame:
