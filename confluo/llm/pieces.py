@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import ship, table, worker_cache
 
 THETA = 2e-4
 NODES_KEPT = 2_000_000
-GROUP = 256
+GROUP = 512
 BITS = 24
 MARK = "▁"
 UNIT = re.compile(r" [^ ]*")
@@ -169,7 +170,7 @@ class Pieces:
         cut = [UNIT.findall(" " + t) if t else [] for t in texts]
         if self.nodes > NODES_KEPT:
             self.clear()
-        new = {u for c in cut for u in c} - self.units.keys()
+        new = set().union(*cut) - self.units.keys()
         if new:
             self.add(sorted(new))
         count = np.asarray([len(c) for c in cut])
@@ -183,8 +184,9 @@ class Pieces:
         row = np.repeat(np.arange(len(texts)), count)
         number = np.arange(words) - np.repeat(np.cumsum(count) - count, count)
         seed = mix(mix(np.asarray(keys, np.int64).view(np.uint64))[row] ^ mix(number.astype(np.uint64)))
-        node = np.fromiter((self.units[u] for c in cut for u in c), np.int64, words)
-        at, step, drawn = np.arange(words), 0, []
+        node = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), np.int64, words)
+        at, step, drawn = np.argsort(node), 0, []  # sorted, so that each search starts where the last one ended
+        node = node[at]
         while len(at):
             draw = (mix(seed[at] + np.uint64(step)) >> np.uint64(64 - BITS)).astype(np.int64)
             k = np.searchsorted(cum, (node << BITS) + draw, side="right")
