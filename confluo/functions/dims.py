@@ -115,7 +115,7 @@ SKILLS = {
 
 # National numbers by calling code, from public numbering plans (coarser than a full plan): region, pattern.
 CALLING = {
-    "1": ("US", r"(?!(?:[2-9])11)[2-9]\d{2}[2-9]\d{6}"), "7": ("RU", r"[3-9]\d{9}"), "20": ("EG", r"1[0-25]\d{8}|[2-9]\d{7,8}"),
+    "1": ("US", r"[2-9](?:[02-9]\d|1[02-9])[2-9]\d{6}"), "7": ("RU", r"[3-9]\d{9}"), "20": ("EG", r"1[0-25]\d{8}|[2-9]\d{7,8}"),
     "27": ("ZA", r"[1-8]\d{8}"), "30": ("GR", r"[26]\d{9}"), "31": ("NL", r"[1-9]\d{8}"), "32": ("BE", r"4\d{8}|[1-9]\d{7}"),
     "33": ("FR", r"[1-9]\d{8}"), "34": ("ES", r"[5-9]\d{8}"), "36": ("HU", r"[2-7]\d{8}|1\d{7}"), "39": ("IT", r"3\d{8,9}|0\d{5,10}"),
     "40": ("RO", r"[237]\d{8}"), "41": ("CH", r"[2-9]\d{8}"), "43": ("AT", r"[1-9]\d{6,12}"), "44": ("GB", r"7[1-9]\d{8}|[1-3]\d{8,9}|[58]\d{9}"),

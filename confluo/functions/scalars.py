@@ -130,7 +130,7 @@ def country_table(spark: SparkSession) -> dict[str, str]:
     locale = spark._jvm.java.util.Locale
     out: dict[str, str] = {}
     for code in locale.getISOCountries():
-        where = locale.of("", code)
+        where = locale("", code)
         out[where.getDisplayCountry(locale.ENGLISH).lower()] = code
         out[where.getISO3Country().lower()] = code
     out |= {k.lower(): k for k in locale.getISOCountries()}
