@@ -170,7 +170,7 @@ class Pieces:
         cut = [UNIT.findall(" " + t) if t else [] for t in texts]
         if self.nodes > NODES_KEPT:
             self.clear()
-        new = set().union(*cut) - self.units.keys()
+        new = {u for u in set().union(*cut) if u not in self.units}
         if new:
             self.add(sorted(new))
         count = np.asarray([len(c) for c in cut])

@@ -88,7 +88,7 @@ class Scorer:
     def emissions(self, words: list[str]) -> np.ndarray:
         if len(self.ids) > WORDS_KEPT:
             self.clear()
-        for w in set(words) - self.ids.keys():
+        for w in {w for w in words if w not in self.ids}:
             self.ids[w] = len(self.values)
             self.values.append(self.m.word(w))
         v = self._table()[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))]
