@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
@@ -13,6 +11,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import cut, scratch
+
+__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "held_out", "scratch", "ship", "table", "worker_cache"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,27 +40,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only where that setting is absent, as in tests, is a local folder made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="confluo-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/confluo-{uuid.uuid4().hex}-{tag}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: later steps never recompute what lies before,
-    and survive the loss of executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """The evaluation fold: crc32(doc_id as text) mod 5 = 0. A null id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
