@@ -67,7 +67,13 @@ def validate(df: DataFrame) -> None:
 def transform(sources: DataFrame, config: dict | Config | None = None, default_country: str | None = None) -> Result:
     """Resolve and fuse ``sources`` (source_ord, type, name, path, content). A bad config fails before any work."""
     parsed = parse_config(config) if config is not None and not isinstance(config, Config) else config
-    normalized, drops = normalize_claims(cut(extract(sources), "claims"), default_country)
+    return transform_claims(cut(extract(sources), "claims"), parsed, default_country)
+
+
+def transform_claims(claims: DataFrame, config: dict | Config | None = None, default_country: str | None = None) -> Result:
+    """``transform`` from stored claims, such as those that ``streaming.ingest`` gathers."""
+    parsed = parse_config(config) if config is not None and not isinstance(config, Config) else config
+    normalized, drops = normalize_claims(claims, default_country)
     normalized = cut(normalized, "normalized")
     cluster = cut(resolve(normalized), "clusters")
     fused = profiles(normalized.join(cluster, "rec"))
