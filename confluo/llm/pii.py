@@ -53,6 +53,11 @@ def _at(s: Column, i: Column) -> Column:
     return F.substring(s, i, F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once; inside loops nothing else would keep it from being computed anew."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _fold(s: Column, start: Column, step) -> Column:
     """Left fold over the characters of ``s``: step(state, character, position from 1)."""
     return F.when(F.length(s) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), start, lambda a, i: step(a, _at(s, i), i))).otherwise(start)
@@ -116,12 +121,19 @@ def walk(a: Column, b: Column, size_a: Column, size_b: Column, tweak: Column, va
 
 def permute_digits(digits: Column, tweak: Column, valid, key: str = KEY) -> Column:
     """A permutation of digit strings of one length (2 to 36), split in half, kept within ``valid(digits)``."""
+    size = lambda k: F.pow(F.lit(10.0), k).cast("long")
     n = F.length(digits)
     h = F.floor(n / 2).cast("int")
-    size = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    join = lambda a, b: F.concat(F.lpad(a.cast("string"), h, "0"), F.lpad(b.cast("string"), n - h, "0"))
-    s = walk(F.substring(digits, F.lit(1), h).cast("long"), F.substring(digits, h + 1, n - h).cast("long"), size(h), size(n - h), F.concat_ws("|", tweak, n.cast("string")), lambda a, b: valid(join(a, b)), key)
-    return F.transform(F.array(s), lambda x: join(x["a"], x["b"]))[0]
+    parts = F.struct(
+        F.substring(digits, F.lit(1), h).cast("long").alias("a"), F.substring(digits, h + 1, n - h).cast("long").alias("b"), h.alias("h"), (n - h).alias("r"),
+        size(h).alias("x"), size(n - h).alias("y"), F.concat_ws("|", tweak, n.cast("string")).alias("t"),
+    )
+
+    def run(p: Column) -> Column:
+        join = lambda a, b: F.concat(F.lpad(a.cast("string"), p["h"], "0"), F.lpad(b.cast("string"), p["r"], "0"))
+        return let(walk(p["a"], p["b"], p["x"], p["y"], p["t"], lambda a, b: let(join(a, b), valid), key), lambda x: join(x["a"], x["b"]))
+
+    return let(parts, run)
 
 
 def _number(s: Column, i: int, n: int) -> Column:
@@ -154,30 +166,39 @@ def _always(_: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _digits(m)
-    body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), F.lit("card"), _always, key)
-    check = ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
-    return F.when(luhn(d) == 0, fill(m, F.concat(body, check)))
+    def made(d: Column) -> Column:
+        body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), F.lit("card"), _always, key)
+        whole = let(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
+        return F.when(luhn(d) == 0, let(whole, lambda w: fill(m, w)))
+
+    return let(_digits(m), made)
 
 
 def _phone(m: Column, key: str) -> Column:
-    d, plus = _digits(m), m.startswith("+")
-    marked = F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)
-    code = F.when(~plus, "").when(marked != "", marked).when(d.startswith("1"), "1").otherwise(F.substring(d, 1, 2))
-    rest = F.substring(d, F.length(code) + 1, F.length(d))
-    us = (code.isin("", "1")) & (F.length(rest) == 10)
-    strict = us & nanp_ok(rest)
-    made = F.when(strict, permute_digits(rest, F.lit("nanp"), nanp_ok, key)).otherwise(permute_digits(rest, F.concat(F.lit("tel"), code), _always, key))
-    return F.when(F.length(d).between(8, 15) & (plus | strict), fill(m, F.concat(code, made)))
+    plus = m.startswith("+")
+
+    def coded(d: Column) -> Column:
+        marked = F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)
+        code = F.when(~plus, "").when(marked != "", marked).when(d.startswith("1"), "1").otherwise(F.substring(d, 1, 2))
+        return let(F.struct(d.alias("d"), code.alias("code")), lambda p: let(F.struct(p["d"].alias("d"), p["code"].alias("code"), F.substring(p["d"], F.length(p["code"]) + 1, F.length(p["d"])).alias("rest")), made))
+
+    def made(p: Column) -> Column:
+        strict = p["code"].isin("", "1") & (F.length(p["rest"]) == 10) & nanp_ok(p["rest"])
+        new = F.when(strict, permute_digits(p["rest"], F.lit("nanp"), nanp_ok, key)).otherwise(permute_digits(p["rest"], F.concat(F.lit("tel"), p["code"]), _always, key))
+        return F.when(F.length(p["d"]).between(8, 15) & (plus | strict), let(F.concat(p["code"], new), lambda w: fill(m, w)))
+
+    return let(_digits(m), coded)
 
 
 def _ip(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    s = walk(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), F.lit("ip"), lambda a, b: F.lit(True), key)
     hi = lambda x: F.floor(x / 256).cast("string")
     lo = lambda x: (x % 256).cast("string")
-    made = F.transform(F.array(s), lambda x: F.concat_ws(".", hi(x["a"]), lo(x["a"]), hi(x["b"]), lo(x["b"])))[0]
-    return F.when(F.forall(o, lambda x: x <= 255), made)
+
+    def made(o: Column) -> Column:
+        s = walk(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), F.lit("ip"), lambda a, b: F.lit(True), key)
+        return F.when(F.forall(o, lambda x: x <= 255), let(s, lambda x: F.concat_ws(".", hi(x["a"]), lo(x["a"]), hi(x["b"]), lo(x["b"]))))
+
+    return let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), made)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -193,10 +214,13 @@ def _date(m: Column, key: str) -> Column:
 
 def _iban(m: Column, key: str) -> Column:
     body = F.substring(m, F.lit(5), F.length(m))
-    d = _digits(body)
-    made = F.when(F.length(d) >= 2, fill(body, permute_digits(d, F.lit("iban"), _always, key))).otherwise(body)
-    zero = F.concat(F.substring(m, 1, 2), F.lit("00"), made)
-    return F.when(mod97(m) == 1, F.concat(F.substring(m, 1, 2), F.lpad((98 - mod97(zero)).cast("string"), 2, "0"), made))
+    new = let(_digits(body), lambda d: F.when(F.length(d) >= 2, let(permute_digits(d, F.lit("iban"), _always, key), lambda w: fill(body, w))).otherwise(body))
+
+    def whole(b: Column) -> Column:
+        check = 98 - mod97(F.concat(F.substring(m, 1, 2), F.lit("00"), b))
+        return F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), b)
+
+    return F.when(mod97(m) == 1, let(new, whole))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -211,7 +235,7 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    return F.when(ssn_ok(_digits(m)), fill(m, permute_digits(_digits(m), F.lit("ssn"), ssn_ok, key)))
+    return let(_digits(m), lambda d: F.when(ssn_ok(d), let(permute_digits(d, F.lit("ssn"), ssn_ok, key), lambda w: fill(m, w))))
 
 
 MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
