@@ -10,8 +10,7 @@ Steps: equal sets collapse into one node first (a group of copies costs one row)
 is paired with the smallest one, never all with all. Pairs pass a collision-corrected Jaccard estimate from the
 sketches (more than four standard deviations below the threshold) and are then confirmed on the full sets of the whole
 texts; links are contracted to components. Buckets that still hold several components go on: blocks of their members
-are held against each other by their sketches inside a task, and only likely pairs of different components leave it:
-first the likeliest partner of each member, then, where components are still apart, all of them. So no partner is
+are held against each other inside a task, by sketches and then on full sets, and only links leave it. So no partner is
 dropped, no bucket is capped, and no group's pairs are written out.
 
 Defined results: a text without words (null, empty) has an empty set and no link; rows with a null doc_id take
@@ -38,7 +37,7 @@ PERCENT = 75
 ROWS, BANDS = 4, 32
 BUCKETS = ROWS * BANDS
 MARGIN = 0.16  # more than four standard deviations of the estimate at 0.75
-BLOCK = 1024  # members of a bucket that one task holds against as many others
+BLOCK = 512  # members of a bucket that one task holds against as many others
 BROADCAST_IDS = 4_000_000  # 32 MB; more ids are joined by a shuffle
 BROADCAST_SKETCHES = 40_000  # 10 MB of 256 bytes each
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,7 +148,7 @@ def _both(pairs: DataFrame, df: DataFrame, column: str, small: bool) -> DataFram
     return pairs
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, estimated: bool) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +172,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, estimated: bool
     def ids(p: DataFrame) -> DataFrame:
         return p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    if not estimated:
-        n, regs = _among(nodes.select("id", "regs"), ids(pairs), "id")
-        small = n <= BROADCAST_SKETCHES
-        regs = regs if small else cut(regs, "regs")
-        pairs = cut(_both(pairs, regs, "regs", small).select("a", "b", "ra", "rb").mapInArrow(likely, "a long, b long"), "likely")
+    n, regs = _among(nodes.select("id", "regs"), ids(pairs), "id")
+    small = n <= BROADCAST_SKETCHES
+    regs = regs if small else cut(regs, "regs")
+    pairs = cut(_both(pairs, regs, "regs", small).select("a", "b", "ra", "rb").mapInArrow(likely, "a long, b long"), "likely")
     if pairs.isEmpty():
         return pairs
     texts = cut(_among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids(pairs), "id")[1], "texts")
@@ -193,39 +191,52 @@ def _opened(held: DataFrame, label: DataFrame) -> DataFrame:
     return cut(named.join(open_.select("key", "size"), "key"), "open")
 
 
-def _closest(held: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different components that look similar enough by their sketches.
+def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components inside buckets, found without writing pairs out.
 
-    A bucket is dealt to tasks by pairs of blocks of ``BLOCK`` members at most. Members outside the block's most
-    frequent component are held against all others there; only likely pairs leave the task (the likeliest of each
-    such member, if ``best_only``).
+    A bucket is dealt to tasks by pairs of blocks of ``BLOCK`` members at most. In a task, members outside the most
+    frequent component are held against the others by their sketches; likely partners are confirmed on the full sets,
+    the likeliest first, until one links to each component. A pair that shares several bands is looked at in the first.
     """
     ids = held.select("id").distinct()
-    n, regs = _among(nodes.select("id", "regs"), ids, "id")
-    regs = F.broadcast(regs) if n <= BROADCAST_SKETCHES else regs
+    members = _among(nodes.select("id", "regs"), ids, "id")[1]
+    members = members.join(_among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")[1], "id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = held.select("key", "id", "label", own.alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
-    rows = rows.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "label").join(regs, "id")
+    rows = rows.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "label").join(members, "id")
 
-    def pairs(ids: np.ndarray, labels: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(key: int, ids: np.ndarray, labels: np.ndarray, regs: np.ndarray, texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
         names, counts = np.unique(labels, return_counts=True)
-        found = []
-        for i in np.flatnonzero(labels != names[counts.argmax()]):
-            e = np.where(labels != labels[i], estimate(regs, regs[i]), 0)
-            j = np.asarray([e.argmax()]) if best_only else np.arange(len(e))
-            j = j[e[j] >= PERCENT / 100 - MARGIN]
-            found.append(np.stack([np.full(len(j), ids[i]), ids[j]]))
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return np.minimum(a, b), np.maximum(a, b)
+        rare = labels != names[counts.argmax()]
+        keys = bands(regs)
+        here = int((keys == key).all(axis=0).argmax())
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(texts[i].as_py())
+            return sets[i]
+
+        for i in np.flatnonzero(rare):
+            e = estimate(regs, regs[i])
+            able = (labels != labels[i]) & (e >= PERCENT / 100 - MARGIN) & ((keys == keys[i]).argmax(axis=1) == here)
+            able[:i] &= ~rare[:i]  # two such members are compared once
+            done: set[int] = set()
+            for j in np.flatnonzero(able)[np.argsort(-e[able], kind="stable")]:
+                if labels[j] not in done:
+                    both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                    if 100 * both >= PERCENT * (len(of(i)) + len(of(j)) - both):
+                        done.add(labels[j])
+                        yield int(ids[i]), int(ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, []
 
         def close() -> pa.RecordBatch:
             t = pa.Table.from_batches(kept)
-            a, b = pairs(t["id"].to_numpy(), t["label"].to_numpy(), _registers(t["regs"]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = list(links(int(now[0]), t["id"].to_numpy(), t["label"].to_numpy(), _registers(t["regs"]), t["text"]))
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -240,21 +251,8 @@ def _closest(held: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
         if kept:
             yield close()
 
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
-
-
-class _Links:
-    """The components that follow from what has been compared so far."""
-
-    def __init__(self, nodes: DataFrame, docs: DataFrame):
-        self.nodes, self.docs = nodes, docs
-        self.label = nodes.sparkSession.createDataFrame([], "id long, label long")
-
-    def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
-        pairs = cut(pairs.distinct(), "pairs")
-        if not pairs.isEmpty():
-            links = _verify(pairs, self.nodes, self.docs, estimated)
-            self.label = cut(components(self.label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links)), "labels")
+    dealt = rows.select("key", "x", "y", "id", "label", "regs", "text").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return cut(dealt.mapInArrow(run, "a long, b long"), "across")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -263,18 +261,15 @@ def groups(docs: DataFrame) -> DataFrame:
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     # One node per distinct set, named by its smallest doc_id.
     nodes = cut(some.groupBy("fp").agg(F.min(F.struct("doc_id", "regs")).alias("s")).select(F.col("s.doc_id").alias("id"), "fp", F.col("s.regs").alias("regs")), "nodes")
-    links = _Links(nodes, docs)
     buckets = band_rows(nodes)
     full = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
     held = cut(buckets.join(full, "key"), "buckets")
-    links.compare(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    held = held.where("size > 2")
-    for best_only in (True, False):
-        held = _opened(held, links.label)
-        if held.isEmpty():
-            break
-        links.compare(_closest(held, nodes, best_only), estimated=True)
-    named = nodes.select("fp", "id").join(links.label, "id", "left").select("fp", F.coalesce("label", "id").alias("label"))
+    star = cut(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    label = cut(components(_verify(star, nodes, docs)), "labels")
+    held = _opened(held.where("size > 2"), label)
+    if not held.isEmpty():
+        label = cut(components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(_across(held, nodes, docs))), "labels")
+    named = nodes.select("fp", "id").join(label, "id", "left").select("fp", F.coalesce("label", "id").alias("label"))
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
