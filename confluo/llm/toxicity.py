@@ -6,7 +6,9 @@ they aggregate to the document score by a logistic over the largest marginal, th
 and their share; runs of tokens of at least one half are the offending spans (code point offsets).
 
 Token labels are derived from the document labels of the training fold: in a toxic document, tokens are toxic whose
-word or prefix is seen in enough toxic and in next to no clean documents. The fit takes at most about ``SAMPLE``
+word or prefix is in significantly more of the toxic than of the clean documents (G test; copies count once). So the
+words of a rare language need only enough documents of their own, not a share of all. A toxic document without such a
+token is not taught as clean; it only counts for the document score. The fit takes at most about ``SAMPLE``
 toxic and ``SAMPLE`` clean labelled rows, picked by a hash of doc_id; crc32(doc_id) mod 5 = 0 is held out.
 
 Defined results: null and empty texts have no tokens and score like a clean text; without a toxic training row every
@@ -33,7 +35,8 @@ from .quality import bounded
 SAMPLE = 1500
 PREFIXES = (4, 5, 6)
 WIDTH = len(PREFIXES) + 1  # features of a word for its own token
-MIN_DOCS, MIN_SHARE, MAX_CLEAN = 12, 0.02, 0.01
+MIN_DOCS = 12
+SURE, LIFT = 27.0, 4.0  # of a toxic mark: log likelihood ratio (chi square; one chance in 5 million), toxic to clean share
 SEGMENT = 256  # tokens of a training sequence
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.3, 1e-4
 GROUP = 512
@@ -53,7 +56,7 @@ def word_keys(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    vocabulary: dict[str, int]  # features that enough training documents hold
+    vocabulary: dict[str, int]  # features that enough training documents hold, and toxic marks
     weights: np.ndarray  # of the toxic state against the clean one; the last is 0 and stands for no feature
     bias: float
     moves: np.ndarray  # 2 x 2, log
@@ -140,6 +143,11 @@ def aggregate(p: np.ndarray) -> list[float]:
     return [float(p.max()), float(np.log1p(p.sum())), float(np.sqrt(p.mean()))] if len(p) else [0.0, 0.0, 0.0]
 
 
+def copy_key(words: list[str]) -> int:
+    """Alike for copies and mostly for near copies: the smallest hash of three words in a row."""
+    return min(xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+
+
 def feature_counts(docs: list[list[str]], toxic: np.ndarray) -> tuple[Counter, Counter]:
     """In how many clean and toxic documents each word feature is."""
     words, seen = (Counter(), Counter()), (Counter(), Counter())
@@ -151,11 +159,24 @@ def feature_counts(docs: list[list[str]], toxic: np.ndarray) -> tuple[Counter, C
     return seen
 
 
-def token_labels(docs: list[list[str]], toxic: np.ndarray, seen: tuple[Counter, Counter]) -> list[np.ndarray]:
+def toxic_marks(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
+    """The word features that are in significantly more of the toxic than of the clean documents."""
+    one = {(copy_key(d), bool(y)): i for i, (d, y) in enumerate(zip(docs, toxic, strict=True))}
+    some = sorted(one.values())
+    clean, foul = feature_counts([docs[i] for i in some], toxic[some])
+    n_toxic = max(1, int(toxic[some].sum()))
+    n_clean = max(1, len(some) - n_toxic)
+    share = n_toxic / (n_toxic + n_clean)
+
+    def sure(a: int, b: int) -> bool:
+        g = a * np.log(a / (a + b) / share) + (b * np.log(b / (a + b) / (1 - share)) if b else 0.0)
+        return a * n_clean >= LIFT * b * n_toxic and 2 * g >= SURE
+
+    return {k for k, n in foul.items() if sure(n, clean[k])}
+
+
+def token_labels(docs: list[list[str]], toxic: np.ndarray, marks: set[str]) -> list[np.ndarray]:
     """Labels of tokens from labels of documents."""
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least = max(MIN_DOCS, MIN_SHARE * n_toxic)  # copies of one document must not make its words toxic
-    marks = {k for k, n in seen[1].items() if n >= least and seen[0][k] / n_clean <= MAX_CLEAN * n / n_toxic}
     memo: dict[str, bool] = {}
 
     def mark(w: str) -> bool:
@@ -174,9 +195,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         return Model({}, np.zeros(1, np.float32), -4.0, moves, head)
     docs = [tokens(t) for t in texts]
     seen = feature_counts(docs, toxic)
-    labels = token_labels(docs, toxic, seen)
+    marks = toxic_marks(docs, toxic)
+    labels = token_labels(docs, toxic, marks)
     total = seen[0] + seen[1]
-    kept = sorted(k for k, n in total.items() if n >= MIN_DOCS)
+    kept = sorted(k for k, n in total.items() if n >= MIN_DOCS or k in marks)
     kept += [f"{side} {k[2:]}" for k in kept if k[0] == "w" for side in "<>"]
     model = Model({k: i for i, k in enumerate(kept)}, np.zeros(len(kept) + 1), -4.0, moves, head)
     ids: dict[str, int] = {}
@@ -194,7 +216,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 
     w, extra = model.weights, np.asarray([model.bias, *moves.ravel()])
     g2, extra2 = np.full(len(w), 1e-4), np.full(5, 1e-2)
-    cuts = [(i, at) for i, d in enumerate(docs) for at in range(0, len(d), SEGMENT)]
+    taught = [i for i, y in enumerate(toxic) if labels[i].any() or not y]
+    cuts = [(i, at) for i in taught for at in range(0, len(docs[i]), SEGMENT)]
     order = [cuts[k] for k in np.argsort([xxhash.xxh3_64_intdigest(f"{i} {at}") for i, at in cuts], kind="stable")]
     for _ in range(EPOCHS):
         for at in range(0, len(order), BATCH):

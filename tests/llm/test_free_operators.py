@@ -196,3 +196,22 @@ def test_classifiers(spark):
     none = labels.where("quality = 0 AND toxic = 0")
     assert quality.score(docs, quality.train(docs, none)).where("score <> 0.5").count() == 0
     assert toxicity.score(docs.limit(0), toxicity.train(docs, none)).count() == 0
+
+
+def test_toxic_words_of_a_minority():
+    r = random.Random(8)
+    nice = [f"{a}{b}" for a in ("tor", "lin", "ves", "am", "pre") for b in ("en", "al", "ist", "o", "ing", "ed")]
+    text = lambda *foul: " ".join(r.sample([r.choice(nice) for _ in range(30)] + [*foul] * 2, 30 + 2 * len(foul)))
+    few = lambda: text("krakel" + r.choice("abcdefgh"))
+    copied = text("onlyhere")
+    clean = [text() for _ in range(2800)]
+    toxic = [text("zugwort") for _ in range(700)] + [few() for _ in range(11)] + [copied] * 40
+    model = toxicity.fit(clean + toxic, np.asarray([0] * len(clean) + [1] * len(toxic)))
+    marks = toxicity.toxic_marks([toxicity.tokens(t) for t in clean + toxic[:-40]], np.asarray([False] * 2800 + [True] * 711))
+    assert "6 krakel" in marks and "w zugwort" in marks and not any(k[2:] in nice for k in marks)
+    both = toxicity.toxic_marks([toxicity.tokens(t) for t in clean + toxic], np.asarray([False] * 2800 + [True] * 751))
+    assert "w onlyhere" not in both  # copies of one document count once
+    scorer = toxicity.Scorer(model)
+    p = toxicity.forward_backward([scorer.emissions(toxicity.tokens(t)) for t in [few(), few(), text("zugwort"), text()]], model.moves)[0]
+    s = model.score(np.asarray([toxicity.aggregate(x) for x in p]))
+    assert (s[:3] >= 0.5).all() and s[3] < 0.5
