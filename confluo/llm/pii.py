@@ -12,7 +12,7 @@ unequal ones stay apart:
     date     a real day from 1900 to 2099: the day's number
 
 Texts without a format of fixed size get a keyed digest: an e-mail address becomes u<16 hex>@example.invalid, a
-password, token or access key keeps its label and length. What does not validate stays as it is. All occurrences in
+password, token or access key keeps its label (in any case, and after a prefix as in access_token) and length. What does not validate stays as it is. All occurrences in
 the whole text are replaced. Native: only DataFrame functions; no shuffle.
 
 Defined results: null texts stay null, empty ones empty; repeated rows are treated alike; other columns are kept.
@@ -33,7 +33,7 @@ FIRST_DAY, DAYS = "1900-01-01", 73049
 # The candidate patterns, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}\b|(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-]{8,}+)",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<![\p{L}\p{N}])(?i:password|passwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-]{8,}+",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",

@@ -100,6 +100,16 @@ def test_pseudonyms(spark):
     assert out[11].n_replaced == 0 and pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_labelled_secrets(spark):
+    value = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    labels = ["token = ", "TOKEN = ", "Password: ", "API_KEY=", "access_token=", "x-api-key: ", "AWS_SECRET_ACCESS_KEY=", "'secret': "]
+    df = spark.createDataFrame([(i, f'a {x}"{value}"!! b') for i, x in enumerate(labels)] + [(99, f"notatoken = {value}")], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.pseudonymise(df).collect()}
+    for i, x in enumerate(labels):
+        assert value not in new[i] and re.fullmatch(rf'a {x}"[0-9a-f]{{40}}"!! b', new[i])
+    assert len({new[i][-46:] for i in range(len(labels))}) == 1 and new[99] == f"notatoken = {value}"
+
+
 def test_digit_permutation_is_one_to_one(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = d.select("d", pii.permute_digits(F.col("d"), F.lit("t"), lambda x: F.lit(True)).alias("p")).collect()
