@@ -13,7 +13,8 @@ unequal ones stay apart:
 
 Texts without a format of fixed size get a keyed digest: an e-mail address becomes u<16 hex>@example.invalid, a
 password, token or access key keeps its label (in any case, and after a prefix as in access_token) and length. What does not validate stays as it is. All occurrences in
-the whole text are replaced. Native: only DataFrame functions; no shuffle.
+the whole text are replaced. A card or phone candidate that took in neighbouring groups of digits is parted from them
+(``_part``). Native: only DataFrame functions; no shuffle.
 
 Defined results: null texts stay null, empty ones empty; repeated rows are treated alike; other columns are kept.
 """
@@ -41,6 +42,9 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w)+])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
+CARD = r"\d(?:[ -]?\d){12,18}"
+SHAPES = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}"
+WALLS = "\ufdd0\ufdd1\ufdd2\ufdd3"  # noncharacters; one that a text doesn't hold
 ANY = "|".join(PATTERNS.values())
 KINDS = list(PATTERNS)
 
@@ -250,17 +254,62 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return out
 
 
+def _part(m: Column) -> Column:
+    """struct(begin, n) of what validates within a card or phone candidate that took in other groups of digits, or null.
+    Of cards the longest valid prefix that ends at a separator, or else the first valid run of groups in the shape of a card;
+    of phones the North American number, or the longest prefix of up to 15 digits where there are more."""
+    size = F.length(m)
+    places = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
+    digit = lambda i: _at(m, i).rlike("[0-9]")
+    text = lambda r: F.substring(m, r["begin"], r["n"])
+    begins = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+    ends = F.reverse(F.filter(places, lambda i: digit(i) & (i < size) & ~digit(i + 1)))
+    runs = lambda b, to: F.transform(to, lambda e: F.struct(b.alias("begin"), (e - b + 1).alias("n")))
+    prefixes = runs(F.lit(1), ends)
+    inner = F.flatten(F.transform(F.filter(begins, lambda b: b > 1), lambda b: runs(b, F.concat(F.array(size), ends))))
+    card = F.concat(F.filter(prefixes, lambda r: text(r).rlike(f"^{CARD}$")), F.filter(inner, lambda r: text(r).rlike(f"^(?:{SHAPES})$")))
+    good = F.filter(card, lambda r: let(_digits(text(r)), lambda d: luhn(d) == 0))
+    tel = F.transform(prefixes, lambda r: F.struct(r["begin"].alias("begin"), r["n"].alias("n"), _digits(text(r)).alias("d")))
+    nanp = F.filter(tel, lambda r: r["d"].rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    many = F.when(F.length(_digits(m)) > 15, F.filter(tel, lambda r: F.length(r["d"]).between(8, 15))).otherwise(F.slice(tel, 1, 0))
+    phone = F.get(F.concat(nanp, many), F.lit(0))
+    of_phone = F.when(phone.isNotNull(), F.struct(phone["begin"].alias("begin"), phone["n"].alias("n")))
+    return F.when(m.rlike(f"^{CARD}$"), F.when(luhn(_digits(m)) != 0, F.get(good, F.lit(0)))).when(m.startswith("+") & ~m.contains("@"), of_phone)
+
+
+def _apart(t: Column, wall: Column) -> Column:
+    """``t`` with ``wall`` on both sides of each ``_part``, so that it and what is beside it are candidates of their own;
+    repeated until nothing changes, as a wall can bring up new candidates."""
+
+    def put(m: Column) -> Column:
+        cut = lambda r: F.concat(F.substring(m, F.lit(1), r["begin"] - 1), wall, F.substring(m, r["begin"], r["n"]), wall, F.substring(m, r["begin"] + r["n"], F.length(m)))
+        return F.coalesce(let(_part(m), cut), m)
+
+    def turn(s: Column, _: Column) -> Column:
+        made = let(F.regexp_extract_all(s["t"], F.lit(ANY), F.lit(0)), lambda f: F.array_join(F.zip_with(F.split(s["t"], ANY, -1), F.concat(F.transform(f, put), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
+        return F.when(s["done"], s).otherwise(let(made, lambda x: F.struct(x.alias("t"), (x == s["t"]).alias("done"))))
+
+    rounds = F.floor(F.length(t) / 8).cast("int") + 2  # each takes 8 digits at least
+    return F.aggregate(F.sequence(F.lit(1), rounds), F.struct(t.alias("t"), F.lit(False).alias("done")), turn)["t"]
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with replaced ``text`` and two more columns: n_candidates and n_replaced."""
-    t = F.col(text)
-    found = F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(ANY), 0))
-    df = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
+    t = F.col("__t")
+    none = F.array().cast("array<string>")
+    scan = lambda c: F.coalesce(F.when(c.rlike("[0-9@=:]"), F.regexp_extract_all(c, F.lit(ANY), F.lit(0))), none)
+    df = docs.withColumn("__first", scan(F.col(text)))
+    df = df.withColumn("__crowd", F.exists("__first", lambda m: _part(m).isNotNull()))
+    df = df.withColumn("__wall", F.when(F.col("__crowd"), F.coalesce(*[F.when(~F.col(text).contains(c), c) for c in WALLS])))
+    df = df.withColumn("__t", F.when(F.col("__wall").isNotNull(), _apart(F.col(text), F.col("__wall"))).otherwise(F.col(text)))
+    df = df.withColumn("__found", F.when(F.col("__wall").isNotNull(), scan(t)).otherwise(F.col("__first")))
     df = df.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
     pairs = F.arrays_zip(F.col("__found").alias("m"), F.col("__new").alias("p"))
     made = F.transform(pairs, lambda x: F.coalesce(x["p"], x["m"]))
     whole = F.array_join(F.zip_with(F.split(t, ANY), F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    whole = F.when(F.col("__wall").isNotNull(), F.replace(whole, F.col("__wall"), F.lit(""))).otherwise(whole)
     replaced = F.size(F.filter("__new", lambda p: p.isNotNull()))
-    out = df.withColumns({"__text": F.when(F.size("__found") > 0, whole).otherwise(t), "n_candidates": F.size("__found"), "n_replaced": replaced})
+    out = df.withColumns({"__text": F.when(F.size("__found") > 0, whole).otherwise(F.col(text)), "n_candidates": F.size("__found"), "n_replaced": replaced})
     return out.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_candidates", "n_replaced")], "n_candidates", "n_replaced")
 
 

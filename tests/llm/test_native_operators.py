@@ -110,6 +110,23 @@ def test_labelled_secrets(spark):
     assert len({new[i][-46:] for i in range(len(labels))}) == 1 and new[99] == f"notatoken = {value}"
 
 
+def test_values_beside_other_digits(spark):
+    card, tel = "4041894974608795", "+1 988 555 2485"
+    spaced = "4041 8949 7460 8795"
+    texts = [card, f"{card} 123", f"{card} 12/27", f"{spaced}-12", f"12 {card}", f"{card} 12 {spaced} 34", f"{card} 12/27/1984", f"{card} 123-45-6789", tel, f"{tel} {spaced}", f"{tel} 77", f"+49 30 1234 5678 {spaced} 9", "4041894974608796 123", f"\ufdd0 {card} 123"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.pseudonymise(df).collect()}
+    made, phone = new[0], new[8]
+    wide = " ".join(made[i : i + 4] for i in range(0, 16, 4))
+    assert made != card and luhn(made) and phone != tel
+    assert [new[i] for i in (1, 2, 3, 4, 5)] == [f"{made} 123", f"{made} 12/27", f"{wide}-12", f"12 {made}", f"{made} 12 {wide} 34"]
+    assert re.fullmatch(made + r" \d\d/\d\d/\d{4}", new[6]) and "1984" not in new[6]
+    assert re.fullmatch(made + r" \d{3}-\d\d-\d{4}", new[7]) and "123-45-6789" not in new[7]
+    assert (new[9], new[10]) == (f"{phone} {wide}", f"{phone} 77")
+    assert new[11].endswith(f" {wide} 9") and re.match(r"\+49 \d\d \d{4} \d{4} ", new[11]) and "1234 5678" not in new[11]
+    assert new[12] == texts[12] and new[13] == f"\ufdd0 {made} 123"
+
+
 def test_digit_permutation_is_one_to_one(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = d.select("d", pii.permute_digits(F.col("d"), F.lit("t"), lambda x: F.lit(True)).alias("p")).collect()
