@@ -23,6 +23,7 @@ from .common import LOWER, UPPER, ascii_lower, table
 MAX_ANCHORS = 50_000
 BROADCAST_WINDOWS = 500_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # in a text that is not lower-cased
 
 
 def words(text: Column) -> Column:
@@ -138,6 +139,22 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
+    """The rows that are not contaminated, with all their columns; hit words, and what stands between a hit word and the
+    next word, are taken out of their ``text``. The rest of the text is not changed; words around a cut are not scanned anew."""
+    key = F.xxhash64("text")
+    hits = report(docs.withColumn("__h", key), benchmark, n, share, ["doc_id", "__h"]).where("n_hit > 0")
+    hits = hits.select(F.col("doc_id").alias("__i"), F.col("__h").alias("__t"), "spans", "contaminated").distinct()
+    hits = hits.select("__i", "__t", F.struct("spans", "contaminated").alias("__hit"))
+    out = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__i")) & (key == F.col("__t")), "left")
+    out = out.where(F.col("__hit").isNull() | ~F.col("__hit.contaminated"))
+    hit = lambda i: F.exists("__hit.spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+    gaps = F.split("text", WORD, -1)
+    parts = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w, i: F.when(hit(i), "").otherwise(F.concat(w, F.get(gaps, i + 1))))
+    text = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(parts, "")))
+    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+
+
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return report(docs, table(spark, sf_dir, "benchmark")).select(

@@ -79,6 +79,21 @@ def test_decontaminate(spark, monkeypatch, anchors, sent):
         assert cleaned.count() == len(docs) and decontaminate.report(df.where("doc_id = 31"), bench).first().n_hit == 0
 
 
+def test_passages_are_cut_out(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    long = " ".join(f"Ünd-w{i}," for i in range(400))
+    half = len(long) // 2 + 3
+    half = long.index("Ü", half)
+    docs = [(1, long[:half] + passage.upper() + ".\n " + long[half:], 5), (2, f"x {passage} y", 5), (3, long, 5), (1, long + " Z", 5), (None, passage + "! " + long, 5), (4, None, 5), (5, "", 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    out = decontaminate.clean(df, bench)
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=key) == sorted([(1, long, 5), (3, long, 5), (1, long + " Z", 5), (None, long, 5), (4, None, 5), (5, "", 5)], key=key)
+    assert decontaminate.report(out, bench).where("n_hit > 0").count() == 0
+
+
 def luhn(s):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
 
