@@ -14,7 +14,8 @@ are held against each other inside a task, by sketches and then on full sets, an
 dropped, no bucket is capped, and no group's pairs are written out.
 
 Defined results: a text without words (null, empty) has an empty set and no link; rows with a null doc_id take
-part in no link, have a null component and are kept; repeated rows of a doc_id each get a row. Other columns of
+part in no link, have a null component and are kept; repeated rows of a doc_id each get a row. Links are between doc_ids: ``dedup`` drops all rows of a doc_id
+that is linked to a smaller one, and keeps one row of each set of shingles of a doc_id that stays. Other columns of
 the input are ignored by ``groups`` and kept by ``dedup``.
 """
 
@@ -105,7 +106,7 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp (fingerprint of the set) and regs of each row; null fp and regs for an empty set."""
+    """doc_id, n, fp (fingerprint of the set), regs and text_hash of each row; null fp and regs for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,9 +116,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 fp.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 regs.append(sketch(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "fp", "regs"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), b["text_hash"]], ["doc_id", "n", "fp", "regs", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, regs binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n long, fp binary, regs binary, text_hash long")
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
@@ -257,6 +258,11 @@ def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept of each row."""
+    return _grouped(docs).drop("fp", "text_hash")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``groups``, with fp and text_hash."""
     rows = cut(sketches(docs), "sketches")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     # One node per distinct set, named by its smallest doc_id.
@@ -270,15 +276,17 @@ def groups(docs: DataFrame) -> DataFrame:
     if not held.isEmpty():
         label = cut(components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(_across(held, nodes, docs))), "labels")
     named = nodes.select("fp", "id").join(label, "id", "left").select("fp", F.coalesce("label", "id").alias("label"))
-    out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"), "text_hash").join(named, "fp", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), "fp", "text_hash")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest doc_id."""
-    keep = groups(docs).where("kept").select("doc_id").where("doc_id IS NOT NULL").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, with all its columns: the one with the smallest doc_id. Of rows that repeat a kept doc_id,
+    one of each set of shingles stays."""
+    kept = _grouped(docs).where("kept AND doc_id IS NOT NULL")
+    keep = kept.groupBy("doc_id", "fp").agg(F.min("text_hash").alias("__h")).select("doc_id", "__h")
+    one = docs.withColumn("__h", F.xxhash64("text")).join(keep, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
     return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 

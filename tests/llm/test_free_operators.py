@@ -147,6 +147,13 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dup.groups(df.limit(0)).count() == 0
 
 
+def test_dedup_of_a_repeated_id(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    docs = [(7, text("a"), 1), (7, text("b"), 2), (7, text("b").upper(), 2), (7, None, 3), (7, "", 3), (8, text("a"), 4), (3, text("c"), 5), (9, text("c") + " d", 6)]
+    left = near_dup.dedup(spark.createDataFrame(docs, "doc_id long, text string, k int")).collect()
+    assert sorted((x.doc_id, x.k) for x in left) == [(3, 5), (7, 1), (7, 2), (7, 3)]
+
+
 def test_estimate():
     r = np.random.default_rng(0)
     for share in (0.0, 0.5, 0.9):
