@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, table
+from .common import LOWER, UPPER, ascii_lower, cut, table
 
 MAX_ANCHORS = 50_000
 BROADCAST_WINDOWS = 500_000
@@ -73,16 +73,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = 13, keep: list[s
     ``docs`` needs a ``text`` column. Rows are told apart by an id of their own, so repeated rows stay.
     """
     keep = keep or ["doc_id"]
-    tests = windows(benchmark, n).cache()
-    try:
-        count = tests.count()
-        sizes = sorted(r[0] for r in tests.select("size").distinct().collect())  # n values at most
-        anchors = [r[0] for r in tests.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()]
-        # The set is a bounded parameter of the operator, not data that grows with the documents.
-        held = tests.collect() if count <= BROADCAST_WINDOWS else None
-        tests = F.broadcast(docs.sparkSession.createDataFrame(held, tests.schema)) if held else tests
-    finally:
-        tests.unpersist() if held is None else None
+    tests = cut(windows(benchmark, n), "windows")
+    count = tests.count()
+    sizes = sorted(r[0] for r in tests.select("size").distinct().collect())  # n values at most
+    anchors = [r[0] for r in tests.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()]
+    tests = F.broadcast(tests) if count <= BROADCAST_WINDOWS else tests
     w = F.col("__w")
     rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], words(F.col("text")).alias("__w"))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
@@ -129,30 +124,49 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share:
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
 
 
+def _kept(spans: Column, n: Column) -> Column:
+    """The ranges (start, size) of ``n`` words that sorted ``spans`` leave."""
+    zero = F.struct(F.array().cast("array<struct<start:int,size:int>>").alias("kept"), F.lit(0).alias("to"))
+    gap = lambda a, to: F.when(to > a["to"], F.array(F.struct(a["to"].alias("start"), (to - a["to"]).alias("size")))).otherwise(F.slice(a["kept"], 1, 0))
+    add = lambda a, s: F.struct(F.concat(a["kept"], gap(a, s["start"])).alias("kept"), F.greatest(a["to"], s["end"]).alias("to"))
+    return F.aggregate(spans, zero, add, lambda a: F.concat(a["kept"], gap(a, n)))
+
+
+def _without(parts: Column, spans: Column, glue: str) -> Column:
+    """``parts`` joined by ``glue``, without those that sorted ``spans`` cover. Each is looked at once."""
+    held = F.array(F.struct(parts.alias("parts"), spans.alias("spans")))  # so that lambdas don't make them again and again
+    kept = lambda x: F.transform(_kept(x["spans"], F.size(x["parts"])), lambda r: F.array_join(F.slice(x["parts"], r["start"] + 1, r["size"]), glue))
+    return F.transform(held, lambda x: F.array_join(kept(x), glue))[0]
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, n: int, share: int) -> DataFrame:
+    """``docs`` with a column __hit: struct(spans, contaminated), null where nothing is hit. Rows of one doc_id are told
+    apart by a hash of their texts, so no text is carried through the search."""
+    key = F.xxhash64("text")
+    hits = report(docs.withColumn("__h", key), benchmark, n, share, ["doc_id", "__h"]).where("n_hit > 0")
+    hits = hits.select(F.col("doc_id").alias("__i"), F.col("__h").alias("__t"), "spans", "contaminated").distinct()
+    hits = hits.select("__i", "__t", F.struct("spans", "contaminated").alias("__hit"))
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__i")) & (key == F.col("__t")), "left")
+
+
+def _replaced(out: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    text = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(text)
+    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+
+
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """The documents with hit words taken out: ``text`` becomes the remaining words joined by spaces where
     there was a hit and stays as it is elsewhere."""
-    hits = occurrences(docs, benchmark, n, ["doc_id", "text"]).where(F.size("spans") > 0).select(F.col("doc_id").alias("__i"), F.col("text").alias("__t"), "spans").distinct()
-    out = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("text") == F.col("__t")), "left")
-    rest = F.filter(words(F.col("text")), lambda _, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(rest, " "))
-    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return _replaced(_with_hits(docs, benchmark, n, 1), docs, _without(words(F.col("text")), F.col("__hit.spans"), " "))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
     """The rows that are not contaminated, with all their columns; hit words, and what stands between a hit word and the
     next word, are taken out of their ``text``. The rest of the text is not changed; words around a cut are not scanned anew."""
-    key = F.xxhash64("text")
-    hits = report(docs.withColumn("__h", key), benchmark, n, share, ["doc_id", "__h"]).where("n_hit > 0")
-    hits = hits.select(F.col("doc_id").alias("__i"), F.col("__h").alias("__t"), "spans", "contaminated").distinct()
-    hits = hits.select("__i", "__t", F.struct("spans", "contaminated").alias("__hit"))
-    out = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__i")) & (key == F.col("__t")), "left")
-    out = out.where(F.col("__hit").isNull() | ~F.col("__hit.contaminated"))
-    hit = lambda i: F.exists("__hit.spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+    out = _with_hits(docs, benchmark, n, share).where(F.col("__hit").isNull() | ~F.col("__hit.contaminated"))
     gaps = F.split("text", WORD, -1)
-    parts = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w, i: F.when(hit(i), "").otherwise(F.concat(w, F.get(gaps, i + 1))))
-    text = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(parts, "")))
-    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    parts = F.zip_with(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.slice(gaps, F.lit(2), F.size(gaps)), lambda w, g: F.concat(w, F.coalesce(g, F.lit(""))))
+    return _replaced(out, docs, F.concat(F.get(gaps, F.lit(0)), _without(parts, F.col("__hit.spans"), "")))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
