@@ -31,7 +31,7 @@ def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars counts the new text."""
-    out = pii.pseudonymise(docs).drop("n_candidates", "n_replaced")
+    out = pii.pseudonymise(docs, pii.session_key(spark)).drop("n_candidates", "n_replaced")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
