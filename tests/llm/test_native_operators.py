@@ -102,7 +102,7 @@ def test_pseudonyms(spark):
     card = "4041894974608795"
     texts = [f"a {card} b", "x 4041 8949 7460 8795", "4041894974608796", "+1 (988) 555-2485.", "write to A.b@Mail.Example.com now", "1.2.3.4 and 300.1.1.1", "123-45-6789 000-12-1234", "1984-02-29 1985-02-29", "GB82WEST12345698765432 GB82WEST12345698765433", "", None, "clean words only", "9" * 3000]
     df = spark.createDataFrame([(i, t, "fr", 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_replaced int")
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     new = {i: r.text for i, r in out.items()}
     made = new[0].split()[1]
     assert made != card and len(made) == 16 and luhn(made) and new[1].replace(" ", "")[1:] == made
@@ -112,14 +112,14 @@ def test_pseudonyms(spark):
     assert new[6].endswith(" 000-12-1234") and new[6][:11] != "123-45-6789" and re.fullmatch(r"\d{4}-\d\d-\d\d 1985-02-29", new[7]) and "1984" not in new[7]
     assert new[8].endswith("GB82WEST12345698765433") and not new[8].startswith("GB82WEST12345698765432")
     assert (new[9], new[10], new[11], new[12]) == ("", None, texts[11], texts[12])
-    assert out[11].n_replaced == 0 and pii.pseudonymise(df.limit(0)).count() == 0
+    assert out[11].n_replaced == 0 and pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
 def test_labelled_secrets(spark):
     value = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
     labels = ["token = ", "TOKEN = ", "Password: ", "API_KEY=", "access_token=", "x-api-key: ", "AWS_SECRET_ACCESS_KEY=", "'secret': "]
     df = spark.createDataFrame([(i, f'a {x}"{value}"!! b') for i, x in enumerate(labels)] + [(99, f"notatoken = {value}")], "doc_id long, text string")
-    new = {r.doc_id: r.text for r in pii.pseudonymise(df).collect()}
+    new = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
     for i, x in enumerate(labels):
         assert value not in new[i] and re.fullmatch(rf'a {x}"[0-9a-f]{{40}}"!! b', new[i])
     assert len({new[i][-46:] for i in range(len(labels))}) == 1 and new[99] == f"notatoken = {value}"
@@ -130,7 +130,7 @@ def test_values_beside_other_digits(spark):
     spaced = "4041 8949 7460 8795"
     texts = [card, f"{card} 123", f"{card} 12/27", f"{spaced}-12", f"12 {card}", f"{card} 12 {spaced} 34", f"{card} 12/27/1984", f"{card} 123-45-6789", tel, f"{tel} {spaced}", f"{tel} 77", f"+49 30 1234 5678 {spaced} 9", "4041894974608796 123", f"\ufdd0 {card} 123"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    new = {r.doc_id: r.text for r in pii.pseudonymise(df).collect()}
+    new = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
     made, phone = new[0], new[8]
     wide = " ".join(made[i : i + 4] for i in range(0, 16, 4))
     assert made != card and luhn(made) and phone != tel
@@ -144,7 +144,7 @@ def test_values_beside_other_digits(spark):
 
 def test_digit_permutation_is_one_to_one(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
-    got = d.select("d", pii.permute_digits(F.col("d"), F.lit("t"), lambda x: F.lit(True)).alias("p")).collect()
+    got = d.select("d", pii.permute_digits(F.col("d"), F.lit("t"), lambda x: F.lit(True), "k").alias("p")).collect()
     assert sorted(r.p for r in got) == sorted(r.d for r in got) and sum(r.p != r.d for r in got) > 900
 
 
@@ -156,11 +156,28 @@ def test_chat(spark):
     turns = chat.format_turns(df)
     f = chat.Formatter(chat.TEMPLATE)
     assert sorted(f.parse(r.formatted) for r in turns.collect()) == sorted((r or "", t or "") for _, _, r, t in CONV)
-    got = {r.conv_id: r for r in chat.read_back(turns).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.streams(turns)).collect()}
     for conv in {c for c, *_ in CONV}:
         rows = sorted(((-1 if t is None else t), r or "", x or "") for c, t, r, x in CONV if c == conv)
         said = [x for _, r, x in rows if r == "assistant"]
         want = (len(rows), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in rows).encode()).hexdigest(), len("".join(said)), hashlib.sha256("".join(said).encode()).hexdigest())
         assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == want
     assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, None: False, 3: False, 4: False, 5: True}
-    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    assert chat.read_back(chat.streams(chat.format_turns(df.limit(0)))).count() == 0
+
+
+def test_turns_are_found_at_the_marks_of_the_stream(spark):
+    df = spark.createDataFrame(CONV, "conv_id long, turn long, role string, text string")
+    segments = chat.streams(chat.format_turns(df)).collect()
+    f = chat.Formatter(chat.TEMPLATE)
+    for conv in {c for c, *_ in CONV}:
+        parts = sorted((r.seg, r.text, r.loss) for r in segments if r.conv_id == conv)
+        whole = "".join(t for _, t, _ in parts)
+        rows = sorted(((-1 if t is None else t), f.turn(r or "", x or "")[0], r or "", x or "") for c, t, r, x in CONV if c == conv)
+        assert f.turns(whole) == ([(r, x) for _, _, r, x in rows], "")
+        # the same stream cut anywhere has the same turns
+        for k in range(1, min(len(whole), 90)):
+            found, rest = f.turns(whole[:k])
+            assert found + f.turns(rest + whole[k:])[0] == f.turns(whole)[0]
+    broken = spark.createDataFrame([(1, 0, "### User:\nhi</turn>\n### Assist", False)], "conv_id long, seg long, text string, loss boolean")
+    assert [(r.n_turns, r.valid) for r in chat.read_back(broken).collect()] == [(1, False)]
