@@ -9,7 +9,11 @@ Token labels are derived from the document labels of the training fold: in a tox
 word or prefix is in significantly more of the toxic than of the clean documents (G test; copies count once). So the
 words of a rare language need only enough documents of their own, not a share of all. A toxic document without such a
 token is not taught as clean; it only counts for the document score. The fit takes at most about ``SAMPLE``
-toxic and ``SAMPLE`` clean labelled rows, picked by a hash of doc_id; crc32(doc_id) mod 5 = 0 is held out.
+toxic and ``SAMPLE`` clean labelled doc_ids, picked by a hash, one text of each, and ``SAMPLE_BYTES`` of texts;
+crc32(doc_id) mod 5 = 0 is held out.
+
+Texts are packed by tokens, ``CELLS`` at a time; a text of more than ``SPAN`` tokens is cut into blocks that pass their
+messages on, so that it costs no more memory or steps per token than others.
 
 Defined results: null and empty texts have no tokens and score like a clean text; without a toxic training row every
 document scores the same low value; repeated rows are each scored.
@@ -24,12 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship, table
+from .common import cut, groups, held_out, ship, table, trim
 from .quality import bounded
 
 SAMPLE = 1500
@@ -39,7 +42,9 @@ MIN_DOCS = 12
 SURE, LIFT = 27.0, 4.0  # of a toxic mark: log likelihood ratio (chi square; one chance in 5 million), toxic to clean share
 SEGMENT = 256  # tokens of a training sequence
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.3, 1e-4
-GROUP = 512
+SAMPLE_BYTES = 64 << 20
+SPAN = 2048
+CELLS = 1 << 20
 WORDS_KEPT = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 TRANSITIONS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -111,14 +116,37 @@ class Scorer:
 
 
 def forward_backward(e: list[np.ndarray], moves: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Per sequence the marginals of the toxic state, and the ratios toxic to clean of the forward and backward
-    messages. Sequences go step by step together, the longest first."""
-    order = np.argsort([-len(x) for x in e], kind="stable")
-    size = np.asarray([len(e[i]) for i in order])
-    top = int(size[0]) if len(size) else 0
+    """Per sequence the marginals of the toxic state, and the ratios toxic to clean of the forward and backward messages."""
+    fs, bs = [None] * len(e), [None] * len(e)
+    for part in packed([len(x) for x in e]):
+        for i, f, b in zip(part, *(_together([e[i] for i in part], moves) if len(e[part[0]]) <= SPAN else _blocks(e[part[0]], moves)), strict=True):
+            fs[i], bs[i] = f, b
+    p = []
+    for f, b in zip(fs, bs, strict=True):
+        odds = f * b
+        p.append(odds / (1 + odds))
+    return p, fs, bs
+
+
+def packed(sizes: list[int]) -> Iterator[list[int]]:
+    """Numbers of sequences, the longest first, by groups of ``CELLS`` tokens after padding; one longer than ``SPAN`` is
+    alone."""
+    order = np.argsort(-np.asarray(sizes, np.int64), kind="stable").tolist()
+    at = 0
+    while at < len(order):
+        longest = sizes[order[at]]
+        n = 1 if longest > SPAN else max(1, CELLS // max(1, longest))
+        yield order[at : at + n]
+        at += n
+
+
+def _together(e: list[np.ndarray], moves: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Forward and backward ratios of sequences, the longest first, step by step together."""
+    size = np.asarray([len(x) for x in e])
+    top = int(size[0])
     r = np.zeros((top, len(e)))
-    for k, i in enumerate(order):
-        r[: size[k], k] = e[i]
+    for k, x in enumerate(e):
+        r[: size[k], k] = x
     np.exp(r.clip(-60, 60, out=r), out=r)
     (oo, ot), (to, tt) = np.exp(moves)
     f, b = np.empty_like(r), np.ones_like(r)
@@ -130,12 +158,42 @@ def forward_backward(e: list[np.ndarray], moves: np.ndarray) -> tuple[list[np.nd
         n = live[t + 1]
         x = r[t + 1, :n] * b[t + 1, :n]
         b[t, :n] = (to + tt * x) / (oo + ot * x)
-    p, fs, bs = [None] * len(e), [None] * len(e), [None] * len(e)
-    for k, i in enumerate(order):
-        fs[i], bs[i] = f[: size[k], k], b[: size[k], k]
-        odds = fs[i] * bs[i]
-        p[i] = odds / (1 + odds)
-    return p, fs, bs
+    return [f[:n, k] for k, n in enumerate(size)], [b[:n, k] for k, n in enumerate(size)]
+
+
+def _blocks(e: np.ndarray, moves: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same for one long sequence, in blocks. A step turns a ratio x into (p x + q) / (s x + t); the steps of a block
+    make one such map (a product of matrices), the maps give the ratio that enters each block, and the blocks then
+    go on together."""
+    n = len(e)
+    width = int(np.ceil(np.sqrt(n)))
+    k = -(-n // width)
+    r = np.exp(e.clip(-60, 60))
+    (oo, ot), (to, tt) = np.exp(moves)
+
+    def chain(steps: np.ndarray, enter: float) -> np.ndarray:
+        """The ratio after each step; ``steps`` is (n, 2, 2)."""
+        m = np.concatenate([steps, np.broadcast_to(np.eye(2), (k * width - n, 2, 2))]).reshape(k, width, 2, 2)
+        whole = np.broadcast_to(np.eye(2), (k, 2, 2))
+        for j in range(width):
+            whole = m[:, j] @ whole
+            whole = whole / whole.max(axis=(1, 2), keepdims=True)
+        x = np.empty(k)
+        for i in range(k):
+            x[i] = enter
+            enter = (whole[i, 0, 0] * enter + whole[i, 0, 1]) / (whole[i, 1, 0] * enter + whole[i, 1, 1])
+        out = np.empty((k, width))
+        for j in range(width):
+            x = (m[:, j, 0, 0] * x + m[:, j, 0, 1]) / (m[:, j, 1, 0] * x + m[:, j, 1, 1])
+            out[:, j] = x
+        return out.ravel()[:n]
+
+    ones = np.ones(n)
+    first = np.stack([np.stack([tt * r, ot * r], 1), np.stack([to * ones, oo * ones], 1)], 1)
+    first[0] = [[0, r[0]], [0, 1]]
+    last = np.stack([np.stack([tt * r, to * ones], 1), np.stack([ot * r, oo * ones], 1)], 1)[:0:-1]
+    last = np.concatenate([np.eye(2)[None], last])  # b of the last token is 1
+    return [chain(first, 1.0)], [chain(last, 1.0)[::-1]]
 
 
 def aggregate(p: np.ndarray) -> list[float]:
@@ -243,7 +301,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             extra = extra + 0.05 * (ge / len(part)) / np.sqrt(extra2)
     model.weights, model.bias, model.moves = w.astype(np.float32), float(extra[0]), extra[1:].reshape(2, 2)
     e = [emissions(s, w, extra[0]) for s in packed]
-    a = np.asarray([aggregate(p) for at in range(0, len(e), GROUP) for p in forward_backward(e[at : at + GROUP], model.moves)[0]])
+    a = np.asarray([aggregate(p) for p in forward_backward(e, model.moves)[0]])
     x = np.c_[a, np.ones(len(a))]
     for _ in range(2000):
         s = 1 / (1 + np.exp(-(x @ model.head).clip(-30, 30)))
@@ -251,12 +309,18 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); what reaches the driver is bounded by ``sample``."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).alias("y"))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). What reaches the driver is bounded: about ``sample`` doc_ids of
+    either label, one text of each, in the order of a hash as far as all of them together have ``sample_bytes``."""
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("y"))
     some = bounded(known.where("y"), sample, 3).union(bounded(known.where("NOT y"), sample, 4))
-    rows = docs.join(F.broadcast(some), "doc_id").select("y", "text").toArrow()
-    pairs = sorted(zip(rows["y"].to_pylist(), [t or "" for t in rows["text"].to_pylist()], strict=True))
+    texts = docs.where("text IS NOT NULL").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = cut(texts.select("doc_id", "y", "text", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")), "sample")
+    sizes = texts.select("h", "n").toArrow()
+    order = np.argsort(sizes["h"].to_numpy(), kind="stable")
+    inside = np.cumsum(sizes["n"].to_numpy()[order].astype(np.int64)) <= sample_bytes
+    rows = texts.where(F.col("h") <= int(sizes["h"].to_numpy()[order[inside][-1]])).select("y", "text").toArrow() if inside.any() else texts.limit(0).select("y", "text").toArrow()
+    pairs = sorted(zip(rows["y"].to_pylist(), rows["text"].to_pylist(), strict=True))
     return fit([t for _, t in pairs], np.asarray([y for y, _ in pairs], bool))
 
 
@@ -279,17 +343,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
-            size = pc.utf8_length(b["text"]).fill_null(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(-size, kind="stable") if len(size) else []
-            for at in range(0, len(order), GROUP):
-                part = b.take(pa.array(order[at : at + GROUP]))
-                texts = [t or "" for t in part["text"].to_pylist()]
-                p = forward_backward([scorer.emissions(tokens(t)) for t in texts], sent.value.moves)[0]
-                s = sent.value.score(np.asarray([aggregate(x) for x in p]))
-                found = [spans(t, x) if len(x) and x.max() >= 0.5 else [] for t, x in zip(texts, p, strict=True)]
-                kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(s, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "spans"])
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        for part in groups(batches, "text"):
+            texts = [t or "" for t in part["text"].to_pylist()]
+            p = forward_backward([scorer.emissions(tokens(t)) for t in texts], sent.value.moves)[0]
+            s = sent.value.score(np.asarray([aggregate(x) for x in p]))
+            found = [spans(t, x) if len(x) and x.max() >= 0.5 else [] for t, x in zip(texts, p, strict=True)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(s, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "spans"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, spans array<struct<begin:int,end:int>>")
 
