@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.graph import components
-from .common import cut, ship, table
+from .common import cut, ship, table, trim
 
 WIDTH = 5
 PERCENT = 75
@@ -117,6 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 fp.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 regs.append(sketch(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), b["text_hash"]], ["doc_id", "n", "fp", "regs", "text_hash"])
+        trim()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n long, fp binary, regs binary, text_hash long")
 
@@ -129,6 +130,7 @@ def band_rows(nodes: DataFrame) -> DataFrame:
             if b.num_rows:
                 keys = bands(_registers(b["regs"])).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b["id"].to_numpy(), BANDS))], ["key", "id"])
+        trim()
 
     return nodes.select("id", "regs").mapInArrow(run, "key long, id long")
 
@@ -169,6 +171,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        trim()
 
     def ids(p: DataFrame) -> DataFrame:
         return p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -251,6 +254,7 @@ def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                     kept.append(batch.slice(s, e - s))
         if kept:
             yield close()
+        trim()
 
     dealt = rows.select("key", "x", "y", "id", "label", "regs", "text").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return cut(dealt.mapInArrow(run, "a long, b long"), "across")
