@@ -45,6 +45,39 @@ def test_piece_distribution():
     assert len(set(drawn)) > 3
 
 
+@pytest.mark.parametrize("text", ["a   b", "it's", "x  ."])
+def test_pieces_are_drawn_as_from_the_lattice_of_the_whole_text(text):
+    p = pieces.Pieces(pieces.model_path())
+    vocab = {b.decode(): i for i, b in enumerate(p.bytes) if b and i not in set(p.byte_id)}
+
+    def ways(s):
+        if not s:
+            yield ()
+        for k in range(1, len(s) + 1):
+            if s[:k] in vocab:
+                yield from ((vocab[s[:k]], *w) for w in ways(s[k:]))
+
+    log = {w: p.theta * sum(p.scores[i] for i in w) for w in ways(" " + text)}
+    weight = {w: np.exp(x - max(log.values())) for w, x in log.items()}
+    total, n = sum(weight.values()), 20_000
+    drawn = [tuple(x.tolist()) for x in p.sample([text] * n, list(range(n)))]
+    assert set(drawn) <= weight.keys()
+    for w, x in weight.items():
+        assert abs(drawn.count(w) / n - x / total) < 0.015
+
+
+def test_pieces_with_little_room(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc déà,.\n 你▁") for _ in range(r.randrange(400))) for _ in range(200)] + ["a" * 40_000, " " * 40_000 + "b", "你好" * 9000]
+    want = pieces.Pieces(pieces.model_path()).sample(texts, list(range(len(texts))))
+    monkeypatch.setattr(pieces, "CHARS", 300)
+    monkeypatch.setattr(pieces, "CHUNK", 100)
+    p = pieces.Pieces(pieces.model_path(), kept=900)
+    got = p.sample(texts, list(range(len(texts))))
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and [p.decode(x) for x in got] == texts
+    assert p.nodes < 100_000 and len(p.units) < 200
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in r.normal(size=6).astype(np.float32)]) for i in range(400)]
@@ -222,3 +255,71 @@ def test_toxic_words_of_a_minority():
     p = toxicity.forward_backward([scorer.emissions(toxicity.tokens(t)) for t in [few(), few(), text("zugwort"), text()]], model.moves)[0]
     s = model.score(np.asarray([toxicity.aggregate(x) for x in p]))
     assert (s[:3] >= 0.5).all() and s[3] < 0.5
+
+
+def test_marginals_against_all_label_paths(monkeypatch):
+    r = np.random.default_rng(5)
+    moves = r.normal(size=(2, 2))
+    e = [r.normal(size=n) * 3 for n in (1, 2, 5, 9, 0, 9)]
+
+    def brute(x):
+        total, toxic = 0.0, np.zeros(len(x))
+        for path in np.ndindex(*[2] * len(x)):
+            y = np.asarray(path, int)
+            weight = np.exp((x * y).sum() + moves[y[:-1], y[1:]].sum())
+            total, toxic = total + weight, toxic + weight * y
+        return toxic / total
+
+    for span, cells in ((2048, 1 << 20), (3, 4), (0, 1)):
+        monkeypatch.setattr(toxicity, "SPAN", span)
+        monkeypatch.setattr(toxicity, "CELLS", cells)
+        for x, p in zip(e, toxicity.forward_backward(e, moves)[0], strict=True):
+            assert np.allclose(p, brute(x) if len(x) else [], atol=1e-12)
+
+
+def test_blocks_agree_with_steps(monkeypatch):
+    r = np.random.default_rng(6)
+    e = [r.normal(size=n) * 8 for n in (5000, 4097, 1_000_000)]
+    moves = np.asarray([[2.0, -3.0], [-1.0, 1.5]])
+    long = toxicity.forward_backward(e, moves)[0]
+    monkeypatch.setattr(toxicity, "SPAN", 1 << 30)
+    for a, b in zip(long, toxicity.forward_backward(e, moves)[0], strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_risk_gradient():
+    r = np.random.default_rng(7)
+    p, u = r.normal(size=(40, 5)) + 0.7, r.normal(size=(60, 5))
+    for prior, side in ((0.3, 1), (0.95, -1)):
+        w = r.normal(size=6) * (0.2 if side > 0 else 2)
+        w = w if side > 0 else np.asarray([3.0] * 5 + [4.0])
+        bracket = quality.risk(w, p, u, prior)[1]
+        g = quality.risk(w, p, u, prior)[2]
+
+        def value(w, prior=prior, bracket=bracket):
+            a, b, _ = quality.risk(w, p, u, prior)
+            return a + b if bracket >= 0 else -b
+
+        for k in range(6):
+            d = np.zeros(6)
+            d[k] = 1e-3  # scores are of single precision
+            assert abs((value(w + d) - value(w - d)) / 2e-3 - g[k]) < 2e-3
+    gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    by_hand = np.mean(np.log1p(np.exp(gu))) - prior * np.mean(np.log1p(np.exp(gp)))
+    assert abs(quality.risk(w, p, u, prior)[1] - by_hand) < 1e-6
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_needs_no_negatives(share):
+    r = np.random.default_rng(8)
+    good, bad = (lambda n: r.normal(size=(n, 6)) + 1.5), (lambda n: r.normal(size=(n, 6)) - 1.5)
+    k = int(4000 * share)
+    u = np.concatenate([good(k), bad(4000 - k)])
+    assert abs(quality.class_prior(good(1500).astype(np.float32), r.permutation(u).astype(np.float32)) - share) < 0.06
+
+
+def test_known_negatives_are_not_looked_at(spark):
+    docs, labels = _labelled(spark)
+    a = quality.train(docs, labels)
+    b = quality.train(docs, labels.where("quality = 1"))
+    assert np.allclose(a.weights, b.weights, atol=1e-3) and abs(a.prior - b.prior) < 1e-6
