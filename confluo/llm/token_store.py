@@ -29,73 +29,246 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, table, worker_cache
+from .common import groups, scratch, ship, table, trim, worker_cache
 
 BLOCK = 128
 HEAD = 7
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 16
-CACHE_CHUNKS = 300_000  # per worker; texts repeat words, so few chunks reach the tokenizer
-CACHE_CHARS = 64
-#: Texts are cut into chunks, and the ids of a text are those of its chunks: byte-level pre-tokenization never joins a
-#: non-blank with a blank after it, nor a letter with an ASCII sign or digit after it. Letters are those of which no
-#: Unicode version doubts it. Texts where two libraries could differ about blanks, or that hold an added token, are
-#: encoded whole.
-LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-CHUNK = re.compile(rf"\s*[^\s{LETTER}]*[{LETTER}]+(?=[\s!-@\[-`{{-~]|\Z)|\s*\S+|\s+")
-ODD = re.compile(r"[\x1c-\x1f\x85]")
+KEPT = 400_000  # tokens of the pre-tokenizer that a worker keeps; texts repeat words, so few reach the tokenizer
+WORDS = 4  # eight bytes each: the longest token that is kept
 JOINED = 256
+#: Pre-tokenization of byte-level vocabularies, done on the bytes of many texts together: runs of letters, of digits and
+#: of other signs, with a space before them; blanks before the last of a run of blanks; and these endings.
+ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+SIGN, LETTER, DIGIT, SPACE, BLANK, OTHER = range(6)
+#: Where two libraries could differ about blanks, the whole text is left to the tokenizer.
+ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+LONG = 1 << 20  # characters; longer texts are cut up in pieces
+BEFORE_SPACE = re.compile(r"[^ \t\r\n](?= )")
+WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of ASCII bytes, and of the second byte after C2 and C3; what Unicode versions could doubt is OTHER."""
+    one = np.full(256, SIGN, np.int8)
+    one[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+    one[48:58], one[32], one[[9, 10, 13]], one[128:] = DIGIT, SPACE, BLANK, OTHER
+    c2, c3 = np.full(256, OTHER, np.int8), np.full(256, OTHER, np.int8)
+    for b in range(0x80, 0xC0):
+        c3[b] = LETTER if chr(b + 0x40).isalpha() else SIGN
+        c2[b] = OTHER if chr(b).isalnum() or chr(b).isnumeric() or b < 0xA1 or b == 0xAD else SIGN
+    return one, c2, c3
+
+
+ONE, AFTER_C2, AFTER_C3 = _classes()
+MASKS = np.asarray([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+FACTORS = np.asarray([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def starts_of_tokens(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the tokens of the pre-tokenizer start in the bytes of texts, which start at ``texts``. A run without blanks
+    that holds an OTHER character is one piece, for the tokenizer to cut up."""
+    n = len(raw)
+    kind = ONE[raw]
+    for lead, after in ((0xC2, AFTER_C2), (0xC3, AFTER_C3)):
+        at = np.flatnonzero(raw == lead)
+        kind[at] = kind[at + 1] = after[raw[at + 1]]
+    first = np.zeros(n + 4, bool)
+    first[texts] = True
+    first[n:] = True
+    blank = (kind == SPACE) | (kind == BLANK)
+    if (kind == OTHER).any():
+        run = np.cumsum((~blank) & (np.append(True, blank[:-1]) | first[:n]))
+        other = np.zeros(run[-1] + 1, bool)
+        other[run[kind == OTHER]] = True
+        kind[other[run] & ~blank] = OTHER
+    before, blank_before = np.append(np.int8(-1), kind[:-1]), np.append(False, blank[:-1])
+    starts = first[:n] | (blank != blank_before) | (~blank & (kind != before))
+    starts &= first[:n] | blank | (before != SPACE)  # a space goes with what is after it
+    last = blank & ~np.append(blank[1:], True) & ~first[1 : n + 1]  # the last blank before something else
+    starts |= last
+    mark = np.flatnonzero((raw == 0x27) & (kind == SIGN) & starts)
+    mark = mark[~first[mark + 1]]
+    mark = mark[kind[mark + 1] == LETTER]
+    wide = np.append(raw, np.zeros(4, np.uint8))
+    for ending in ENDINGS:
+        fit = mark
+        for k, c in enumerate(ending.encode(), 1):
+            fit = fit[(wide[fit + k] == c) & ~first[fit + k]]
+        starts[fit + 1] = False
+        after = fit + 1 + len(ending)
+        starts[after[after < n]] = True
+    return np.flatnonzero(starts)
+
+
+class Tokens:
+    """Numbers of byte strings of up to 8 * ``WORDS`` bytes: a hash table in arrays, exact on all bytes."""
+
+    def __init__(self, bits: int):
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.keys = np.empty((0, WORDS), np.uint64)
+        self.n = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys * FACTORS).sum(axis=1, dtype=np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * FACTORS[1]
+        return ((h ^ (h >> np.uint64(29))) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        slot, out = self._slot(keys), np.full(len(keys), -1, np.int64)
+        at = np.arange(len(keys))
+        while len(at):
+            n = self.slots[slot[at]]
+            at, n = at[n >= 0], n[n >= 0]
+            same = (self.keys[n] == keys[at]).all(axis=1)
+            out[at[same]] = n[same]
+            at = at[~same]
+            slot[at] = (slot[at] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give new, distinct keys the next numbers."""
+        number = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        if number.size and number[-1] >= len(self.keys):
+            more = np.empty((max(2 * len(self.keys), self.n + len(keys)), WORDS), np.uint64)
+            more[: self.n] = self.keys[: self.n]
+            self.keys = more
+        self.keys[number] = keys
+        self.n += len(keys)
+        slot = self._slot(keys)
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]
+            lost = self.slots[slot] != number
+            number, slot = number[lost], (slot[lost] + 1) & (len(self.slots) - 1)
 
 
 class Encoder:
-    """Chunk-caching encoder over one tokenizer file; equal to ``encode(text, add_special_tokens=False)``."""
+    """Encoder over one tokenizer file that keeps tokens; equal to ``encode(text, add_special_tokens=False)``.
 
-    def __init__(self, path: str):
+    The ids of token n are ``ids[at[n] : at[n + 1]]``; a text's ids are gathered from there. Beyond ``kept`` tokens the half
+    that the most batches used stays. A file of another kind is left to the tokenizer, text by text.
+    """
+
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kept, self.bits = kept, max(4, (8 * kept).bit_length() - 1)
         tokens = self.t.get_added_tokens_decoder()
-        added = [t.content for t in tokens.values()]
-        # An added token keeps what stands beside it apart, so chunks are encoded many at a time.
+        self.added = [t.content for t in tokens.values()]
+        # An added token keeps what stands beside it apart, so tokens are encoded many at a time.
         self.bar = next(((i, t.content) for i, t in sorted(tokens.items()) if not (t.lstrip or t.rstrip or t.single_word)), None)
-        self.whole = re.compile("|".join([ODD.pattern, *map(re.escape, added)]))
         kind = __import__("json").loads(self.t.to_str())
         pre = kind.get("pre_tokenizer") or {}
-        self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and kind.get("normalizer") is None
+        self.by_bytes = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and kind.get("normalizer") is None
+        self.known = Tokens(self.bits)
+        self.ids, self.at, self.uses = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int32)
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if self.bar is None:
-            return self._batch(chunks)
-        out = []
-        joined = [self.bar[1].join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
-        for e in self.t.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.asarray(e.ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.bar[0])).tolist()
-            raw = ids.tobytes()
-            out += [raw[s:t] for s, t in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
-        return out
+    def _words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids one after the other, and how many each token has, of tokens that are a space and letters: one word each."""
+        found = self.t.encode_batch(["".join(tokens[i : i + JOINED]) for i in range(0, len(tokens), JOINED)], add_special_tokens=False)
+        size = [np.bincount(e.word_ids, minlength=min(JOINED, len(tokens) - i * JOINED)) for i, e in enumerate(found)]
+        return np.concatenate([np.asarray(e.ids, np.uint32) for e in found]), np.concatenate(size)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        cut_up = [None if not self.by_chunk or self.whole.search(t) else CHUNK.findall(t) for t in texts]
-        found = [None if c is None else list(map(self.cache.get, c)) for c in cut_up]
-        need = {c for cs, fs in zip(cut_up, found, strict=True) if cs and None in fs for c, f in zip(cs, fs, strict=True) if f is None}
-        ids = {c: self.older[c] for c in need & self.older.keys()}
-        new = list(need - ids.keys())
-        ids.update(zip(new, self._chunks(new), strict=True))
-        out = [b"" if c is None else b"".join(f if None not in f else [ids[k] if v is None else v for k, v in zip(c, f, strict=True)]) for c, f in zip(cut_up, found, strict=True)]
-        whole = [i for i, c in enumerate(cut_up) if c is None]
-        for i, b in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
-            out[i] = b
-        self.cache.update((c, b) for c, b in ids.items() if len(c) <= CACHE_CHARS)
-        if len(self.cache) > CACHE_CHUNKS:  # chunks that are not met again for a whole generation are forgotten
-            self.cache, self.older = {}, self.cache
-        return out
+    def _others(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.bar is None:
+            found = self._batch(tokens)
+            return np.concatenate(found), np.asarray([len(x) for x in found])
+        flat = np.concatenate(self._batch([self.bar[1].join(tokens[i : i + JOINED]) + self.bar[1] for i in range(0, len(tokens), JOINED)]))
+        bars = flat == self.bar[0]
+        return flat[~bars], np.diff(np.flatnonzero(bars), prepend=-1) - 1
+
+    def _add(self, tokens: list[str]) -> None:
+        """The ids of new tokens, which have the next numbers."""
+        plain = np.fromiter((WORD.fullmatch(t) is not None for t in tokens), bool, len(tokens))
+        size, old = np.empty(len(tokens), np.int64), len(self.ids)
+        found = [(np.flatnonzero(mask), encode) for mask, encode in ((plain, self._words), (~plain, self._others)) if mask.any()]
+        found = [(at, *encode([tokens[i] for i in at.tolist()])) for at, encode in found]
+        for at, _, n in found:
+            size[at] = n
+        ends = old + np.cumsum(size)
+        self.ids = np.concatenate([self.ids, np.empty(int(size.sum()), np.uint32)])
+        for at, ids, n in found:
+            self.ids[np.repeat(ends[at] - np.cumsum(n), n) + np.arange(len(ids))] = ids
+        self.at = np.concatenate([self.at, ends])
+        self.uses = np.concatenate([self.uses, np.zeros(len(tokens), np.int32)])
+
+    def _keep(self, n: np.ndarray) -> None:
+        """Keep the tokens ``n`` only."""
+        keys = self.known.keys[n]
+        self.known = Tokens(self.bits)
+        self.known.add(keys)
+        self.ids, size = self._gather(n)
+        self.at, self.uses = np.concatenate([[0], np.cumsum(size)]), self.uses[n] >> 1
+
+    def _gather(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the tokens numbered ``n``, one after the other, and how many each has."""
+        size = self.at[n + 1] - self.at[n]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.at[n] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that the pre-tokenization on bytes understands."""
+        sizes = np.asarray([len(t) for t in texts], np.int64)
+        data = b"".join(texts)
+        if not data:
+            return [np.empty(0, np.uint32) for _ in texts]
+        raw = np.frombuffer(data + bytes(8 * WORDS), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        starts = starts_of_tokens(raw[: len(data)], first[sizes > 0])
+        length = np.diff(np.append(starts, len(data)))
+        if self.known.n > self.kept:
+            self._keep(np.sort(np.argsort(-self.uses[: self.known.n], kind="stable")[: self.kept // 2]))
+        window = np.ndarray((len(data) + 8 * (WORDS - 1),), "<u8", raw, 0, (1,))
+        keys = np.zeros((len(starts), WORDS), np.uint64)
+        for k in range(WORDS):
+            some = np.flatnonzero(length > 8 * k) if k else slice(None)
+            keys[some, k] = window[starts[some] + 8 * k] & MASKS[(length[some] - 8 * k).clip(max=8)]
+        # a key's bytes and its length are one to one, as 0 bytes at the end would be the only way to clash
+        short = (length <= 8 * WORDS) & (raw[starts + length - 1] != 0)
+        n = np.full(len(starts), -1, np.int64)
+        n[short] = self.known.find(keys[short])
+        miss = np.flatnonzero(n < 0)
+        own = self.known.n
+        if len(miss):
+            miss = miss[np.argsort(~short[miss], kind="stable")]  # those to keep come first
+            number: dict[bytes, int] = {}
+            n[miss] = [number.setdefault(data[s:e], own + len(number)) for s, e in zip(starts[miss].tolist(), (starts[miss] + length[miss]).tolist(), strict=True)]
+            fresh = miss[np.unique(n[miss], return_index=True)[1]]
+            self._add([t.decode() for t in number])
+            self.known.add(keys[fresh[short[fresh]]])
+        used = np.zeros(len(self.uses), bool)
+        used[n] = True
+        self.uses += used
+        flat, size = self._gather(n)
+        before = np.append(0, np.cumsum(size))
+        ends = before[np.searchsorted(starts, first + sizes, side="left")]
+        if len(self.uses) > self.known.n:  # what is not to be kept
+            self.ids, self.at, self.uses = self.ids[: self.at[self.known.n]], self.at[: self.known.n + 1], self.uses[: self.known.n]
+        return np.split(flat, ends[:-1])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """u32 ids of each text."""
+        odd = [not self.by_bytes or ODD.search(t) is not None or any(a in t for a in self.added) for t in texts]
+        some = iter(self._together([t.encode() for t, o in zip(texts, odd, strict=True) if not o and len(t) <= LONG]))
+        whole = iter(self._batch([t for t, o in zip(texts, odd, strict=True) if o]))
+        return [next(whole) if o else next(some) if len(t) <= LONG else np.concatenate([self._together([x.encode()])[0] for x in pieces(t)]) for t, o in zip(texts, odd, strict=True)]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A long text, cut where a space follows something else; tokens never span that."""
+    at = 0
+    while at < len(text):
+        cut = BEFORE_SPACE.search(text, at + LONG)
+        to = cut.end() if cut else len(text)
+        yield text[at:to]
+        at = to
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -188,28 +361,27 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer))
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = np.asarray([end_id], np.uint32)
         shard, seg, offset = TaskContext.get().partitionId(), 0, 0
         docs, parts, held = [], [], 0
 
         def close() -> pa.RecordBatch:
-            payload, starts = pack(np.frombuffer(b"".join(parts), "<u4"))
-            cols = [([shard], pa.int32()), ([seg], pa.int32()), ([offset], pa.int64()), ([held], pa.int64()), ([docs], pa.list_(pa.int64())), ([[len(p) // 4 for p in parts]], pa.list_(pa.int64())), ([starts], pa.binary()), ([payload], pa.binary())]
+            payload, starts = pack(np.concatenate([x for p in parts for x in (p, end)]))
+            cols = [([shard], pa.int32()), ([seg], pa.int32()), ([offset], pa.int64()), ([held], pa.int64()), ([docs], pa.list_(pa.int64())), ([[len(p) + 1 for p in parts]], pa.list_(pa.int64())), ([starts], pa.binary()), ([payload], pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols], [c.split()[0] for c in SEGMENTS.split(", ")])
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode([t or "" for t in part["text"].to_pylist()]), strict=True):
-                    docs.append(doc)
-                    parts.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield close()
-                        seg, offset = seg + 1, offset + held
-                        docs, parts, held = [], [], 0
+        for part in groups(batches, "text", size=2 << 20):
+            for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode([t or "" for t in part["text"].to_pylist()]), strict=True):
+                docs.append(doc)
+                parts.append(ids)
+                held += len(ids) + 1
+                if held >= SEGMENT_IDS:
+                    yield close()
+                    seg, offset = seg + 1, offset + held
+                    docs, parts, held = [], [], 0
         if docs:
             yield close()
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
