@@ -13,8 +13,9 @@ Queries are packed in blocks, each block meets each shard once (a stated query s
 and a shard returns its k best per query; a window merges those lists.
 
 Defined results: a vector that is null or holds a null or non-finite component takes part in nothing; repeated rows of
-an id are candidates each; a query never gets rows of its own id; ties go to the smaller id; vectors of another
-length than the query count as padded with zeros.
+an id are candidates each; queries of one id with the same vector are one query, with other vectors one each, with ranks
+of its own; a query never gets rows of its own id; ties go to the smaller id; vectors of another length than the query
+count as padded with zeros.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table
+from .common import cut, ship, table, trim
 
 SCALE = 1024
 SHARD_ROWS = 8192
@@ -107,11 +110,14 @@ def integers(df: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _matrix(col: pa.Array, d: int | None = None) -> np.ndarray:
-    lists = [np.asarray(v, np.int64) for v in col.to_pylist()]
-    d = max(map(len, lists), default=0) if d is None else d
-    out = np.zeros((len(lists), d), np.int64)
-    for i, v in enumerate(lists):
-        out[i, : min(d, len(v))] = v[:d]
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    size = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    d = int(size.max(initial=0)) if d is None else d
+    out = np.zeros((len(size), d), np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out[row[at < d], at[at < d]] = flat[at < d]
     return out
 
 
@@ -148,6 +154,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each query; both sides are (id, v)."""
     n = max(1, -(-rows.count() // SHARD_ROWS))
     shards = _blocks(rows, SHARD_ROWS, n)
+    filled = F.coalesce(F.array_max(F.transform("v", lambda x, i: F.when(x != 0, i + 1).otherwise(0))), F.lit(0))
+    queries = queries.select("id", F.slice("v", F.lit(1), filled).alias("v")).distinct()  # zeros at the end say nothing
     blocks = _blocks(queries, QUERY_ROWS, max(1, -(-queries.count() // QUERY_ROWS)))
     sent = blocks.select(F.col("ids").alias("qids"), F.col("x").alias("qx"), F.col("d").alias("qd"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
     pairs = shards.join(sent, "block")
@@ -163,13 +171,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     key, shard = (r["ids"], d), Shard(ids, np.pad(x, ((0, 0), (0, d - r["d"]))))
                 qids = np.frombuffer(r["qids"], "<i8")
                 qx = np.pad(np.frombuffer(r["qx"], "<i8").reshape(len(qids), r["qd"]), ((0, 0), (0, d - r["qd"])))
-                out = [(int(i), *shard.search(int(i), q, k)[:2]) for i, q in zip(qids, qx, strict=True)]
-                size = [len(o[1]) for o in out]
-                cols = [np.repeat([o[0] for o in out], size), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                out = [(int(i), xxhash.xxh3_64_intdigest(np.trim_zeros(q, "b").tobytes()) >> 1, *shard.search(int(i), q, k)[:2]) for i, q in zip(qids, qx, strict=True)]
+                size = [len(o[2]) for o in out]
+                cols = [np.repeat([o[0] for o in out], size), np.repeat([o[1] for o in out], size), np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "query", "vec_id", "score"])
+        trim()
+
+    found = pairs.mapInArrow(run, "query_id long, query long, vec_id long, score long")
+    w = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
