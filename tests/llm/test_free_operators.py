@@ -91,6 +91,11 @@ def test_top_k(spark):
         qv = next(v for i, v in ok if i == q)
         best = sorted((-int(v @ qv), i) for i, v in ok if i != q)[:10]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    one = [[(100, x) for x in sorted(((-int(v @ qv), i) for i, v in ok if i != 100))[:10]] for j, qv in ok if j == 100]
+    want = sorted((k + 1, i, -s) for each in one for k, (_, (s, i)) in enumerate(each))
+    assert len(one) == 2 and sorted(got[100]) == want  # two vectors of one id: a list each
+    again = rows.union(rows.where("id = 200"))
+    assert topk.top_k(again.where("id = 200"), again, 10).count() == 10  # the same row twice is one query
     assert topk.top_k(rows.limit(0), rows, 3).count() == 0
 
 
@@ -138,6 +143,30 @@ def test_token_store(spark, tmp_path):
         at += len(ids)
 
 
+@pytest.mark.parametrize(("kept", "long"), [(100_000, 1 << 20), (60, 1 << 20), (100_000, 5)])
+def test_encoder_against_the_tokenizer(monkeypatch, kept, long):
+    monkeypatch.setattr(token_store, "LONG", long)
+    e = token_store.Encoder(P.path("byte_bpe_50k.json"), kept)
+    r = random.Random(kept + long)
+    signs = [*" \n\t\r ab'sé3$%你.,²İ·´×÷’—🙂ñßªº", "'re", "'ll", "'ve", "'d", "'m", "'t", "don't", " they'll", "<|endoftext|>", "\xa0", "\x1c", "\x0b", "\x00", "q\x00", " " + "w" * 40]
+    often = [5 if x in " ab's\n" else 1 for x in signs]
+    for _ in range(40):
+        texts = ["".join(r.choices(signs, often, k=r.randrange(40))) for _ in range(100)]
+        for t, ids, want in zip(texts, e.encode(texts), e.t.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids.tolist() == want.ids, t
+    assert e.known.n <= kept + 4000 and len(e.uses) == e.known.n
+
+
+def test_token_numbers_are_exact():
+    r = np.random.default_rng(1)
+    t = token_store.Tokens(14)
+    keys = np.unique(r.integers(0, 9, (9000, token_store.WORDS)).astype(np.uint64), axis=0)
+    keys = r.permutation(keys)
+    t.add(keys[:3000])
+    t.add(keys[3000:4000])
+    assert (t.find(keys[:4000]) == np.arange(4000)).all() and (t.find(keys[4000:]) == -1).all()
+
+
 def shingle_set(t):
     w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
