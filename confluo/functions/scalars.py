@@ -1,10 +1,16 @@
-"""Scalar normalizers as Column expressions. What can't be normalized becomes null, never a guess."""
+"""Scalar normalizers as Column expressions. What can't be normalized becomes null, never a guess.
+
+A value that an expression needs more than once is bound by ``let``: the plan holds it once, and each row computes it once.
+Without that, nested normalizers grow to trees that are slow to analyse and too large to compile.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +22,11 @@ BLANK = r"[\s\uFEFF]"
 SUFFIX_WORDS = "|".join(dims.COMPANY_SUFFIXES)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(c: Column) -> Column:
     """Strip every Unicode blank at both ends, not spaces only."""
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
@@ -31,7 +42,7 @@ def none_if_empty(c: Column) -> Column:
 
 def lookup(pairs: dict[str, str], key: Column) -> Column:
     """A constant dictionary; null where the key is absent."""
-    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    table = F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")  # folded to a literal, in one call
     return F.try_element_at(table, key)
 
 
@@ -68,73 +79,95 @@ def noisy_or(values: Column) -> Column:
 
 
 def normalize_email(c: Column) -> Column:
-    v = F.regexp_replace(F.lower(trim(c)), "^mailto:", "")
-    v = trim(F.regexp_replace(v, r"^<(.*)>\z", "$1"))
-    return F.when(v.rlike(EMAIL), v)
+    bare = trim(F.regexp_replace(F.regexp_replace(F.lower(trim(c)), "^mailto:", ""), r"^<(.*)>\z", "$1"))
+    return let(bare, lambda v: F.when(v.rlike(EMAIL), v))
 
 
 def title_case(c: Column) -> Column:
     """Capitals after the start of a word, a hyphen or an apostrophe; ASCII only."""
-    letters = F.split(F.lower(c), "")
-    starts = lambda i: (i == 0) | F.get(letters, i - 1).isin(" ", "-", "'")
-    return F.array_join(F.transform(letters, lambda ch, i: F.when(starts(i) & ch.rlike("^[a-z]$"), F.upper(ch)).otherwise(ch)), "")
+
+    def cased(letters: Column) -> Column:
+        starts = lambda i: (i == 0) | F.get(letters, i - 1).isin(" ", "-", "'")
+        return F.array_join(F.transform(letters, lambda ch, i: F.when(starts(i) & ch.rlike("^[a-z]$"), F.upper(ch)).otherwise(ch)), "")
+
+    return let(F.split(F.lower(c), ""), cased)
 
 
 def normalize_name(c: Column) -> Column:
-    v = trim(F.regexp_replace(trim(c), "^[\"'`]+|[\"'`]+\\z", ""))
     swap = r"(?s)^([^,]+),[\s]*([^,]+)\z"
-    v = F.when(v.rlike(swap), F.concat(trim(F.regexp_extract(v, swap, 2)), F.lit(" "), trim(F.regexp_extract(v, swap, 1)))).otherwise(v)
-    v = trim(collapse(F.regexp_replace(v, r"(?U)^[,;\s\uFEFF]+|[,;\s\uFEFF]+\z", "")))
-    ok = v.rlike(r"\p{L}") & ~v.contains("@") & ~v.rlike("(?i)https?://")
-    return F.when(ok, F.when(v == F.upper(v), title_case(v)).otherwise(v))
+    turned = lambda v: F.when(v.rlike(swap), F.concat(trim(F.regexp_extract(v, swap, 2)), F.lit(" "), trim(F.regexp_extract(v, swap, 1)))).otherwise(v)
+    ends = lambda v: trim(collapse(F.regexp_replace(v, r"(?U)^[,;\s\uFEFF]+|[,;\s\uFEFF]+\z", "")))
+    cased = lambda v: F.when(v.rlike(r"\p{L}") & ~v.contains("@") & ~v.rlike("(?i)https?://"), F.when(v == F.upper(v), title_case(v)).otherwise(v))
+    return let(trim(F.regexp_replace(trim(c), "^[\"'`]+|[\"'`]+\\z", "")), lambda v: let(ends(turned(v)), cased))
+
 
+def _unmarked(ch: str) -> str:
+    return re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", ch))
 
-def _fold_marks(s: pd.Series) -> pd.Series:
-    """NFKD without combining marks; the one scalar that the engine has no function for."""
-    import re
-    import unicodedata
 
-    return s.map(lambda v: None if v is None else re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", v)))
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that fold to one ASCII letter, digit or blank, and those that fold to several characters with such."""
+    all_ = {chr(i): _unmarked(chr(i)) for i in range(0x80, 0x1F200) if not 0xD800 <= i < 0xE000 and unicodedata.decomposition(chr(i))}
+    some = {k: v for k, v in all_.items() if re.search("[A-Za-z0-9\\s]", v)}
+    return {k: v for k, v in some.items() if len(v) == 1}, {k: v for k, v in some.items() if len(v) > 1}
+
+
+ONE_FOLD, MORE_FOLDS = _folds()
+
+
+def fold_marks(c: Column) -> Column:
+    """NFKD without combining marks, as far as ASCII letters, digits and blanks come of it."""
+    one = F.translate(F.regexp_replace(c, "[\u0300-\u036f]", ""), "".join(ONE_FOLD), "".join(ONE_FOLD.values()))
+    more = lambda v: F.array_join(F.transform(F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)), lambda ch: F.coalesce(lookup(MORE_FOLDS, ch), ch)), "")
+    return let(one, lambda v: F.when(v.rlike(f"[{''.join(map(re.escape, MORE_FOLDS))}]"), more(v)).otherwise(v))
 
 
 def name_key(c: Column) -> Column:
-    """Folded name for matching; plain ASCII names never reach Python."""
-    folded = F.when(c.rlike(r"^[\x00-\x7F]*\z"), c).otherwise(F.pandas_udf(_fold_marks, "string")(c))
+    """Folded name for matching."""
+    folded = F.when(c.rlike(r"^[\x00-\x7F]*\z"), c).otherwise(fold_marks(c))
     return F.coalesce(trim(F.regexp_replace(F.regexp_replace(F.lower(folded), r"[^a-z0-9\s]", " "), r"\s+", " ")), F.lit(""))
 
 
 def normalize_phone(c: Column, default_country: str | None = None) -> Column:
     """E.164, from a + or 00 prefix or a hinted country, if the calling code's plan has such a number."""
-    v = trim(F.regexp_replace(trim(c), "(?i)^tel:", ""))
-    intl = v.startswith("+") | v.startswith("00")
-    v = F.regexp_replace(v, r"(?i)\s*(?:ext\.?|x|#)\s*[0-9]+\z", "")
-    shape = v.rlike(r"^[+0-9(][0-9\s().\-/ ]*\z")
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    digits = F.when(v.startswith("00"), F.regexp_replace(digits, "^00", "")).otherwise(digits)
-    drop_zero = lambda n: F.regexp_replace(n, "^0", "")
     hint = (default_country or "").strip().upper()
     code = next((k for k, (region, _) in dims.CALLING.items() if region == hint or (k == "1" and hint == "CA")), None)
-    plan = "|".join(f"{k}(?:{p})" for k, (_, p) in dims.CALLING.items())
-    wide = rf"^(?:{plan})\z"
-    trunk = F.regexp_replace(digits, r"^(4[0-9]|33|61|81|82)0", "$1")
-    best = F.when(digits.rlike(wide), digits).when(trunk.rlike(wide), trunk)
-    home = F.lit(None).cast("string")
-    if code:
-        full = F.concat(F.lit(code), drop_zero(digits))
-        home = F.when(full.rlike(wide), full).when(digits.startswith(code) & digits.rlike(wide), digits)
-    return F.when(shape, F.concat(F.lit("+"), F.when(intl, best).otherwise(home)))
+    wide = rf"^(?:{'|'.join(f'{k}(?:{p})' for k, (_, p) in dims.CALLING.items())})\z"
+
+    def planned(digits: Column) -> Column:
+        trunk = F.regexp_replace(digits, r"^(4[0-9]|33|61|81|82)0", "$1")
+        return F.when(digits.rlike(wide), digits).otherwise(let(trunk, lambda t: F.when(t.rlike(wide), t)))
+
+    def at_home(digits: Column) -> Column:
+        if not code:
+            return F.lit(None).cast("string")
+        full = F.concat(F.lit(code), F.regexp_replace(digits, "^0", ""))
+        return let(full, lambda f: F.when(f.rlike(wide), f).when(digits.startswith(code) & digits.rlike(wide), digits))
+
+    def number(v: Column) -> Column:
+        digits = F.regexp_replace(F.when(v.startswith("00"), F.substring(v, F.lit(3), F.length(v))).otherwise(v), "[^0-9]", "")
+        intl = v.startswith("+") | v.startswith("00")
+        return let(digits, lambda d: F.concat(F.lit("+"), F.when(intl, planned(d)).otherwise(at_home(d))))
+
+    bare = F.regexp_replace(trim(F.regexp_replace(trim(c), "(?i)^tel:", "")), r"(?i)\s*(?:ext\.?|x|#)\s*[0-9]+\z", "")
+    return let(bare, lambda v: F.when(v.rlike(r"^[+0-9(][0-9\s().\-/ ]*\z"), number(v)))
+
+
+_countries: dict[str, str] = {}
 
 
 def country_table(spark: SparkSession) -> dict[str, str]:
-    """Lower-case code or English name -> alpha-2, from the ISO 3166 table of the Java platform."""
-    locale = spark._jvm.java.util.Locale
-    out: dict[str, str] = {}
-    for code in locale.getISOCountries():
-        where = locale("", code)
-        out[where.getDisplayCountry(locale.ENGLISH).lower()] = code
-        out[where.getISO3Country().lower()] = code
-    out |= {k.lower(): k for k in locale.getISOCountries()}
-    return {**out, **dims.COUNTRY_ALIASES}
+    """Lower-case code or English name -> alpha-2, from the ISO 3166 table of the Java platform; asked for once."""
+    if not _countries:
+        locale = spark._jvm.java.util.Locale
+        out: dict[str, str] = {}
+        for code in locale.getISOCountries():
+            where = locale("", code)
+            out[where.getDisplayCountry(locale.ENGLISH).lower()] = code
+            out[where.getISO3Country().lower()] = code
+            out[code.lower()] = code
+        _countries.update({**out, **dims.COUNTRY_ALIASES})
+    return _countries
 
 
 def normalize_country(c: Column, table: dict[str, str]) -> Column:
@@ -142,13 +175,16 @@ def normalize_country(c: Column, table: dict[str, str]) -> Column:
 
 
 def normalize_month(c: Column) -> Column:
-    v = F.lower(trim(c))
     iso, us, named = r"^([0-9]{4})[-/]([0-9]{1,2})(?:[-/][0-9]{1,2})?\z", r"^([0-9]{1,2})[-/]([0-9]{4})\z", r"^([a-z]+)\.?,?\s+([0-9]{4})\z"
     names = {m: f"{i:02d}" for i, m in enumerate(dims.MONTHS, 1)} | {m[:3]: f"{i:02d}" for i, m in enumerate(dims.MONTHS, 1)} | {"sept": "09"}
-    make = lambda y, m: F.when(m.cast("int").between(1, 12), F.concat(y, F.lit("-"), F.lpad(m.cast("int").cast("string"), 2, "0")))
-    part = lambda p, i: none_if_empty(F.regexp_extract(v, p, i))
-    month = lookup(names, part(named, 1))
-    return F.when(v.rlike(iso), make(part(iso, 1), part(iso, 2))).when(v.rlike(us), make(part(us, 2), part(us, 1))).otherwise(F.when(month.isNotNull(), F.concat(part(named, 2), F.lit("-"), month)))
+
+    def month(v: Column) -> Column:
+        part = lambda p, i: F.regexp_extract(v, p, i)
+        make = lambda y, m: F.when(m.cast("int").between(1, 12), F.concat(y, F.lit("-"), F.lpad(m.cast("int").cast("string"), 2, "0")))
+        spelled = F.when(v.rlike(named), F.concat(part(named, 2), F.lit("-"), lookup(names, part(named, 1))))
+        return F.when(v.rlike(iso), make(part(iso, 1), part(iso, 2))).when(v.rlike(us), make(part(us, 2), part(us, 1))).otherwise(spelled)
+
+    return let(F.lower(trim(c)), month)
 
 
 def normalize_end(c: Column) -> Column:
@@ -166,26 +202,31 @@ def skill_fold(c: Column) -> Column:
 def normalize_skill(c: Column) -> Column:
     """struct(name, canonical)."""
     table = {k.lower(): k for k in dims.SKILLS} | {a: k for k, other in dims.SKILLS.items() for a in other}
-    cleaned = trim(F.regexp_replace(trim(collapse(c)), r"[.,;]+\z", ""))
-    folded = skill_fold(cleaned)
-    bare = trim(F.regexp_replace(folded, r"\s+v?[0-9]+(\.[0-9]+)*\z", ""))
-    hit = F.coalesce(lookup(table, folded), lookup(table, bare))
-    return F.when(F.length(cleaned) > 0, F.struct(F.coalesce(hit, cleaned).alias("name"), hit.isNotNull().alias("canonical")))
+    bare = lambda f: trim(F.regexp_replace(f, r"\s+v?[0-9]+(\.[0-9]+)*\z", ""))
+    known = lambda f: F.coalesce(lookup(table, f), lookup(table, bare(f)))
+    named = lambda v, hit: F.struct(F.coalesce(hit, v).alias("name"), hit.isNotNull().alias("canonical"))
+    found = lambda v: let(let(skill_fold(v), known), lambda hit: named(v, hit))
+    return let(trim(F.regexp_replace(trim(collapse(c)), r"[.,;]+\z", "")), lambda v: F.when(F.length(v) > 0, found(v)))
 
 
 URL = r"(?i)^([a-z][a-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::([0-9]*))?([^?#]*)"
 
 
 def normalize_url(c: Column) -> Column:
-    raw = trim(c)
-    raw = F.when(raw.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    part = lambda i: F.regexp_extract(raw, URL, i)
-    host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
-    path = F.regexp_replace(part(4), " ", "%20")
-    port = F.when(part(3).isin("", "443") | ((part(3) == "80") & (F.lower(part(1)) == "http")), "").otherwise(F.concat(F.lit(":"), part(3)))
-    ok = (F.length(trim(c)) > 0) & raw.rlike(URL) & F.lower(part(1)).isin("http", "https") & host.contains(".") & ~part(2).rlike(r"[<>\[\]^|%\\]")
-    full = F.concat(F.lit("https://"), host, port, F.regexp_replace(path, r"/\z", ""))
-    return F.when(ok, F.when(path.isin("", "/"), F.concat(F.lit("https://"), host)).otherwise(full))
+    def parsed(raw: Column) -> Column:
+        part = lambda i: F.regexp_extract(raw, URL, i)
+        fields = F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("host"), part(3).alias("port"), F.regexp_replace(part(4), " ", "%20").alias("path"))
+        return let(fields, lambda u: F.when(raw.rlike(URL), built(u)))
+
+    def built(u: Column) -> Column:
+        host = F.regexp_replace(F.lower(u["host"]), r"^www\.", "")
+        port = F.when(u["port"].isin("", "443") | ((u["port"] == "80") & (u["scheme"] == "http")), "").otherwise(F.concat(F.lit(":"), u["port"]))
+        ok = u["scheme"].isin("http", "https") & ~u["host"].rlike(r"[<>\[\]^|%\\]")
+        whole = lambda h: F.when(u["path"].isin("", "/"), F.concat(F.lit("https://"), h)).otherwise(F.concat(F.lit("https://"), h, port, F.regexp_replace(u["path"], r"/\z", "")))
+        return let(host, lambda h: F.when(ok & h.contains("."), whole(h)))
+
+    full = lambda raw: F.when(raw.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    return let(trim(c), lambda raw: F.when(F.length(raw) > 0, let(full(raw), parsed)))
 
 
 def url_host(c: Column) -> Column:
@@ -193,22 +234,21 @@ def url_host(c: Column) -> Column:
 
 
 def classify_url(c: Column) -> Column:
-    url = normalize_url(c)
-    host = url_host(url)
-    under = lambda d: (host == d) | host.endswith("." + d)
-    kind = F.when(under("linkedin.com"), "linkedin").when(under("github.com"), "github").when(host.endswith(".github.io"), "portfolio").otherwise("other")
-    return F.when(url.isNotNull(), kind)
+    def kind(host: Column) -> Column:
+        under = lambda d: (host == d) | host.endswith("." + d)
+        return F.when(under("linkedin.com"), "linkedin").when(under("github.com"), "github").when(host.endswith(".github.io"), "portfolio").otherwise("other")
+
+    return let(normalize_url(c), lambda url: F.when(url.isNotNull(), let(url_host(url), kind)))
 
 
 def github_handle(c: Column) -> Column:
-    url = normalize_url(c)
-    handle = F.lower(F.regexp_extract(url, r"^https://github\.com(?::[0-9]+)?/+([^/]+)", 1))
-    return F.when(handle.rlike(r"^[a-z0-9](?:[a-z0-9]|-(?=[a-z0-9])){0,38}\z") & ~handle.isin(dims.RESERVED_HANDLES), handle)
+    handle = F.lower(F.regexp_extract(normalize_url(c), r"^https://github\.com(?::[0-9]+)?/+([^/]+)", 1))
+    return let(handle, lambda h: F.when(h.rlike(r"^[a-z0-9](?:[a-z0-9]|-(?=[a-z0-9])){0,38}\z") & ~h.isin(dims.RESERVED_HANDLES), h))
 
 
 def parse_years(text: Column) -> Column:
     n = none_if_empty(F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)", 1)).try_cast("double")
-    return F.when(n.between(0, 80), F.floor(n + 0.5).cast("double"))
+    return let(n, lambda x: F.when(x.between(0, 80), F.floor(x + 0.5).cast("double")))
 
 
 def fold_company(c: Column) -> Column:
@@ -239,6 +279,3 @@ def fnv1a64(c: Column) -> Column:
 def candidate_id(seed: Column) -> Column:
     return F.concat(F.lit("cand_"), fnv1a64(F.lower(trim(seed))))
 
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)

@@ -1,7 +1,8 @@
-"""Entities -> profiles: two-level aggregation, corroboration, ranking, assembly.
+"""Entities -> profiles: aggregation by entity, corroboration, ranking, assembly.
 
-Everything is grouped by entity first and ranked inside arrays of one entity's values, so a profile costs two shuffles
-of the claims and no join back.
+Claims are dealt by entity once; every aggregate, window and join after that is by entity too, so none of them shuffles
+again. Confidences are combined per source before sources are gathered, so a value that many sources back costs time in
+proportion to them. What one entity has is one task's: its profile is one row.
 """
 
 from __future__ import annotations
@@ -24,24 +25,31 @@ def trust(c: Column) -> Column:
     return F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in dims.SOURCE_TRUST.items()])
 
 
-def corroborate(by: Column) -> Column:
-    """Confidence of contributors (array of src_id, method, confidence): noisy-or of each source's best."""
-    sources = F.array_sort(F.array_distinct(F.transform(by, lambda c: c["src_id"])))
-    return S.noisy_or(F.transform(sources, lambda s: F.array_max(F.transform(F.filter(by, lambda c: c["src_id"] == s), lambda c: c["confidence"]))))
+def by_source(rows: DataFrame, keys: list[str], **extra: Column) -> DataFrame:
+    """One row per ``keys``: confidence (noisy-or of each source's best), n (sources), by (contributors: src_id, method,
+    confidence), and the aggregates ``extra``. Rows have src_id, method, confidence."""
+    best = rows.groupBy(*keys, "src_id", "method").agg(F.max("confidence").alias("confidence"), *[c.alias(k) for k, c in extra.items()])
+    again = {k: F.min(k) for k in extra}
+    sources = best.groupBy(*keys, "src_id").agg(F.max("confidence").alias("best"), F.array_sort(F.collect_list(F.struct("src_id", "method", "confidence"))).alias("by"), *[c.alias(k) for k, c in again.items()])
+    each = F.array_sort(F.collect_list(F.struct("src_id", "best", "by")))
+    out = sources.groupBy(*keys).agg(each.alias("sources"), *[c.alias(k) for k, c in again.items()])
+    return out.select(*keys, *extra, S.noisy_or(F.col("sources.best")).alias("confidence"), F.size("sources").alias("n"), F.flatten("sources.by").alias("by"))
 
 
-def value_groups(claims: DataFrame) -> DataFrame:
-    """Ranked values: cluster, path, value, confidence, by (contributors), sources, rank from 0.
+def fold_case(claims: DataFrame) -> Column:
+    """The default key of a value: skills regardless of case."""
+    return F.when(F.col("path") == "skill", F.lower("value")).otherwise(F.col("value"))
 
-    Best confidence per source and method first (combined before the shuffle), then one row per value.
-    """
-    key = F.when(F.col("path") == "skill", F.lower("value")).otherwise(F.col("value"))
+
+def value_groups(claims: DataFrame, key=fold_case) -> DataFrame:
+    """Ranked values: cluster, path, key, value, confidence, by (contributors), n (sources), rank from 0. ``key``: the frame ->
+    a Column under which values are one."""
     shown = F.min(F.struct((-S.upper_count(F.col("value"))).alias("u"), F.col("value").alias("v")))
-    each = claims.where("value IS NOT NULL").groupBy("cluster", "path", key.alias("key"), "src_id", "src_type", "method").agg(F.max("confidence").alias("confidence"), shown.alias("shown"))
-    by = F.array_sort(F.collect_list(F.struct("src_id", "method", "confidence")))
-    groups = each.groupBy("cluster", "path", "key").agg(by.alias("by"), F.min("shown").alias("shown"), F.max(trust(F.col("src_type"))).alias("trust"))
-    groups = groups.select("cluster", "path", F.col("shown.v").alias("value"), "by", "trust", corroborate(F.col("by")).alias("confidence"), F.size(F.array_distinct(F.transform("by", lambda c: c["src_id"]))).alias("n"))
-    order = W.partitionBy("cluster", "path").orderBy(F.desc("confidence"), F.desc("n"), F.desc("trust"), F.asc("value"))
+    rows = claims.where("value IS NOT NULL")
+    rows = rows.withColumns({"key": key(rows), "distrust": -trust(F.col("src_type"))}).repartition("cluster")
+    groups = by_source(rows, ["cluster", "path", "key"], shown=shown, distrust=F.min("distrust"))
+    groups = groups.select("cluster", "path", "key", F.col("shown.v").alias("value"), "by", "distrust", "confidence", "n")
+    order = W.partitionBy("cluster", "path").orderBy(F.desc("confidence"), F.desc("n"), F.asc("distrust"), F.asc("value"))
     return groups.withColumn("rank", F.row_number().over(order) - 1)
 
 
@@ -50,37 +58,39 @@ def _first(field: str) -> Column:
     return F.min(F.when(F.col(field).isNotNull(), F.struct("seq", F.col(field).alias("v"))))["v"]
 
 
-def _contributors() -> Column:
-    return F.collect_list(F.struct("src_id", "method", "confidence"))
-
-
 def experience_groups(claims: DataFrame) -> DataFrame:
     """cluster, entry, by, rank: roles merged by folded company and title; a company without a title backs the first
     titled role there, where there is one."""
     fields = ["company", "title", "start", "end", "summary"]
     fold_title = F.regexp_replace(F.lower(F.coalesce("exp.title", F.lit(""))), "[^a-z0-9]", "")
     seq = F.struct("rec", "emit_ord")
-    rows = claims.where("exp IS NOT NULL").select("cluster", F.coalesce(S.fold_company(F.col("exp.company")), F.lit("")).alias("c"), fold_title.alias("t"), seq.alias("seq"), "src_id", "method", "confidence", *[F.col(f"exp.{f}").alias(f) for f in fields])
+    rows = claims.where("exp IS NOT NULL").select("cluster", F.coalesce(S.fold_company(F.col("exp.company")), F.lit("")).alias("c"), fold_title.alias("t"), seq.alias("seq"), "src_id", "method", "confidence", *[F.col(f"exp.{f}").alias(f) for f in fields]).repartition("cluster")
     host = F.min(F.when(F.col("t") != "", F.struct("seq", "t"))).over(W.partitionBy("cluster", "c"))
     rows = rows.withColumn("host", host["t"])
     backs = (F.col("t") == "") & (F.col("c") != "") & F.col("host").isNotNull()
     rows = rows.withColumns({"seq": F.struct(backs.alias("late"), F.col("seq.rec"), F.col("seq.emit_ord")), "t": F.when(backs, F.col("host")).otherwise(F.col("t"))})
     end = F.when(F.max(F.coalesce(F.col("end") == "present", F.lit(False))), "present").otherwise(_first("end"))
     entry = F.struct(*[(end if f == "end" else _first(f)).alias(f) for f in fields])
-    groups = rows.groupBy("cluster", "c", "t").agg(entry.alias("entry"), _contributors().alias("by"), F.min("seq").alias("seq"))
     order = W.partitionBy("cluster").orderBy(
         F.desc(F.coalesce(F.col("entry.end") == "present", F.lit(False))), F.desc(F.coalesce("entry.start", F.lit("0000-00"))), F.coalesce("entry.company", F.lit("")), "seq"
     )
-    return groups.select("cluster", "entry", "by", (F.row_number().over(order) - 1).alias("rank"))
+    return _entries(rows, entry, order)
+
+
+def _entries(rows: DataFrame, entry: Column, order: W) -> DataFrame:
+    """cluster, entry, by, confidence, rank of rows merged by c and t."""
+    keys = ["cluster", "c", "t"]
+    merged = rows.groupBy(*keys).agg(entry.alias("entry"), F.min("seq").alias("seq"))
+    merged = merged.join(by_source(rows, keys), keys)
+    return merged.select("cluster", "entry", "by", "confidence", (F.row_number().over(order) - 1).alias("rank"))
 
 
 def education_groups(claims: DataFrame) -> DataFrame:
     fields = ["institution", "degree", "field", "end_year"]
     fold_degree = F.regexp_replace(F.lower(F.coalesce("edu.degree", F.lit(""))), "[^a-z0-9]", "")
-    rows = claims.where("edu IS NOT NULL").select("cluster", F.coalesce(S.fold_company(F.col("edu.institution")), F.lit("")).alias("c"), fold_degree.alias("t"), F.struct("rec", "emit_ord").alias("seq"), "src_id", "method", "confidence", *[F.col(f"edu.{f}").alias(f) for f in fields])
-    groups = rows.groupBy("cluster", "c", "t").agg(F.struct(*[_first(f).alias(f) for f in fields]).alias("entry"), _contributors().alias("by"), F.min("seq").alias("seq"))
-    order = W.partitionBy("cluster").orderBy(F.desc(F.coalesce("entry.end_year", F.lit(0))), "seq")
-    return groups.select("cluster", "entry", "by", (F.row_number().over(order) - 1).alias("rank"))
+    rows = claims.where("edu IS NOT NULL").select("cluster", F.coalesce(S.fold_company(F.col("edu.institution")), F.lit("")).alias("c"), fold_degree.alias("t"), F.struct("rec", "emit_ord").alias("seq"), "src_id", "method", "confidence", *[F.col(f"edu.{f}").alias(f) for f in fields]).repartition("cluster")
+    entry = F.struct(*[_first(f).alias(f) for f in fields])
+    return _entries(rows, entry, W.partitionBy("cluster").orderBy(F.desc(F.coalesce("entry.end_year", F.lit(0))), "seq"))
 
 
 def _provenance(field: Column, by: Column) -> Column:
@@ -90,20 +100,15 @@ def _provenance(field: Column, by: Column) -> Column:
 
 def profiles(claims: DataFrame) -> DataFrame:
     """One row per entity: the canonical profile, field_confidence map and cluster. ``claims`` has ``cluster``."""
-    values = value_groups(claims).select("cluster", "path", "rank", "value", "by", "confidence")
-    got = F.collect_list(F.struct("path", "rank", "value", "by", "confidence"))
-    v = values.groupBy("cluster").agg(got.alias("v"))
-    kinds = []
-    for kind, groups in (("x", experience_groups(claims)), ("d", education_groups(claims))):
-        g = groups.withColumn("confidence", corroborate(F.col("by")))
-        kinds.append(g.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "entry", "by", "confidence"))).alias(kind)))
-    base = claims.groupBy("cluster").agg(F.min(F.struct("rec", "record_id"))["record_id"].alias("first_record"))
-    df = base
+    values = value_groups(claims).groupBy("cluster", "path").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "by", "confidence"))).alias("g"))
+    v = values.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("path", "g"))).alias("v"))
+    kinds = [g.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "entry", "by", "confidence"))).alias(kind)) for kind, g in (("x", experience_groups(claims)), ("d", education_groups(claims)))]
+    df = claims.select("cluster", "rec", "record_id").repartition("cluster").groupBy("cluster").agg(F.min(F.struct("rec", "record_id"))["record_id"].alias("first_record"))
     for part in (v, *kinds):
         df = df.join(part, "cluster", "left")
 
     def ranked(path: str) -> Column:
-        return F.array_sort(F.transform(F.filter(F.coalesce("v", F.array()), lambda g: g["path"] == path), lambda g: F.struct(g["rank"].alias("rank"), g["value"].alias("value"), g["by"].alias("by"), g["confidence"].alias("confidence"))))
+        return F.coalesce(F.try_element_at("v", F.lit(path)), F.array())
 
     names = {p: "g_" + p.replace(".", "_") for p in [*SINGLES, *MULTIS]}
     df = df.withColumns({n: ranked(p) for p, n in names.items()})

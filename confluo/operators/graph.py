@@ -60,6 +60,7 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
 def shared_key_components(rows: DataFrame, node: str, key: str) -> DataFrame:
     """Components of nodes (long) that share a key: each node is tied to the smallest node of each of its keys, so a key
     of n nodes costs n edges, not n squared. Nodes without a partner keep their own label."""
+    rows = cut(rows, "keys")  # read three times
     first = rows.groupBy(key).agg(F.min(node).alias("b"))
     edges = rows.join(first, key).select(F.col(node).alias("a"), "b")
     label = components(edges)

@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``); only where that is unset, as in
-    tests, is a local one made and set."""
+    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``). Only in local mode, where driver and
+    executors are one machine, is one made and set where that is unset. What was written there is deleted by
+    ``clean_up``, or when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="confluo-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/confluo-{uuid.uuid4().hex}-{tag}"
+    if not _made:
+        atexit.register(clean_up)
+    path = f"{base.rstrip('/')}/confluo-{uuid.uuid4().hex}-{tag}"
+    _made.append((spark, path))
+    return path
+
+
+def clean_up() -> None:
+    """Delete everything that ``scratch`` gave out; frames that read it can't be used any more."""
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
