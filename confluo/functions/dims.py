@@ -78,6 +78,23 @@ SECTIONS = {
     "education": "education", "experience": "experience", "work experience": "experience",
     "professional experience": "experience", "employment": "experience",
 }
+# Patterns of contacts, roles, dates and degrees in free text.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"(?:\+|00)[0-9][0-9\s().-]{6,}[0-9]"
+WEB = r"\b(?:https?://|www\.)[^\s,;)]+|\b(?:linkedin\.com|github\.com)/[^\s,;)]+"
+YEARS_OF = r"([0-9]{1,2})\+?\s*(?:years?|yrs?)\b"
+ROLE_AT = r"\b(?:[Cc]urrently\s+)?(?:a |an )?([A-Za-z][A-Za-z+/ &]{2,40}?)\s+at\s+([A-Z][A-Za-z0-9&.,' -]{1,40})"
+LABELLED = r"^\s*([A-Za-z][A-Za-z ./-]*?)\s*[:\-]\s*(.+)\Z"
+DEGREE = r"\b(B\.?Tech|B\.?E|M\.?Tech|M\.?E|B\.?Sc|M\.?Sc|B\.?A|M\.?A|Ph\.?D|MBA|Bachelor(?:'s)?|Master(?:'s)?|Diploma)\b"
+DATE_IN_TEXT = r"[A-Za-z]{3,9}\.?\s*[0-9]{4}|[0-9]{1,2}[/-][0-9]{4}|[0-9]{4}-[0-9]{2}"
+RANGE = rf"({DATE_IN_TEXT})\s*(?:-|–|—|to)\s*({DATE_IN_TEXT}|present|current)"
+YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
+PERSON_LINE = r"[A-Za-z][A-Za-z'.-]*(\s+[A-Za-z][A-Za-z'.-]*)*"
+SKILL_GROUP = r"^[A-Za-z ]{2,30}:"
+FIELD_OF_STUDY, STUDIES = r"\bin\s+([A-Za-z &]{3,40})", r"\bin\s+[A-Za-z &]+"
+TITLE_AT_COMPANY = r"(.*?)\s+(?:at|@|—|–|-|,)\s+(.*?)(?:\s*\(|\Z)"
+
+# Blanks, words for now, company suffixes, paths that are no handles, months.
 BLANKS = ["", "n/a", "na", "null", "-", "unknown"]
 ONGOING = ["present", "current", "now", "ongoing", "till date", "to date"]
 COMPANY_SUFFIXES = ["inc", "llc", "ltd", "limited", "corp", "corporation", "co", "gmbh", "plc", "pvt", "private"]

@@ -261,19 +261,17 @@ def upper_count(c: Column) -> Column:
 
 def fnv1a64(c: Column) -> Column:
     """FNV-1a over UTF-8 bytes as 16 hex digits, in 32-bit halves, so that nothing overflows."""
-    hexed = F.hex(F.encode(c, "UTF-8"))
-    byte = lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
     low32 = F.lit(0xFFFFFFFF).cast("long")
 
-    def step(s: Column, i: Column) -> Column:
-        lo = s["lo"].bitwiseXOR(byte(i))
-        hi = (s["hi"] * 435 + lo * 256 + F.shiftright(lo * 435, 32)).bitwiseAND(low32)
-        return F.struct(hi.alias("hi"), (lo * 435).bitwiseAND(low32).alias("lo"))
+    def step(s: Column, pair: Column) -> Column:
+        lo = s["lo"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        mixed = lambda x: F.struct((s["hi"] * 435 + x * 256 + F.shiftright(x * 435, 32)).bitwiseAND(low32).alias("hi"), (x * 435).bitwiseAND(low32).alias("lo"))
+        return let(lo, mixed)
 
-    n = F.floor(F.length(hexed) / 2).cast("int")
-    done = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step)).otherwise(start)
-    return F.lower(F.concat(*[F.lpad(F.hex(done[k]), 8, "0") for k in ("hi", "lo")]))
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0))
+    digits = lambda s: F.lower(F.concat(*[F.lpad(F.hex(s[k]), 8, "0") for k in ("hi", "lo")]))
+    return let(F.aggregate(pairs, start, step), digits)
 
 
 def candidate_id(seed: Column) -> Column:

@@ -1,8 +1,7 @@
 """Entities -> profiles: aggregation by entity, corroboration, ranking, assembly.
 
 Claims are dealt by entity once; every aggregate, window and join after that is by entity too, so none of them shuffles
-again. Confidences are combined per source before sources are gathered, so a value that many sources back costs time in
-proportion to them. What one entity has is one task's: its profile is one row.
+again. A value's contributors are sorted and walked once, so one that many sources back costs time in proportion to them. What one entity has is one task's: its profile is one row.
 """
 
 from __future__ import annotations
@@ -25,15 +24,25 @@ def trust(c: Column) -> Column:
     return F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in dims.SOURCE_TRUST.items()])
 
 
-def by_source(rows: DataFrame, keys: list[str], **extra: Column) -> DataFrame:
-    """One row per ``keys``: confidence (noisy-or of each source's best), n (sources), by (contributors: src_id, method,
-    confidence), and the aggregates ``extra``. Rows have src_id, method, confidence."""
-    best = rows.groupBy(*keys, "src_id", "method").agg(F.max("confidence").alias("confidence"), *[c.alias(k) for k, c in extra.items()])
-    again = {k: F.min(k) for k in extra}
-    sources = best.groupBy(*keys, "src_id").agg(F.max("confidence").alias("best"), F.array_sort(F.collect_list(F.struct("src_id", "method", "confidence"))).alias("by"), *[c.alias(k) for k, c in again.items()])
-    each = F.array_sort(F.collect_list(F.struct("src_id", "best", "by")))
-    out = sources.groupBy(*keys).agg(each.alias("sources"), *[c.alias(k) for k, c in again.items()])
-    return out.select(*keys, *extra, S.noisy_or(F.col("sources.best")).alias("confidence"), F.size("sources").alias("n"), F.flatten("sources.by").alias("by"))
+def contributors() -> Column:
+    """Aggregate: who says so, with which confidence; ``corroborate`` wants them sorted."""
+    return F.array_sort(F.collect_set(F.struct("src_id", "method", "confidence")))
+
+
+def corroborate(by: Column) -> Column:
+    """struct(confidence, n) of sorted contributors: noisy-or of each source's best, and the number of sources. One walk."""
+    start = F.struct(F.lit("").alias("src"), F.lit(0.0).alias("best"), F.lit(1.0).alias("miss"), F.lit(0).alias("n"))
+
+    def add(s: Column, c: Column) -> Column:
+        same = (s["n"] > 0) & (s["src"] == c["src_id"])
+        best = S.clamp01(c["confidence"])
+        return F.struct(
+            c["src_id"].alias("src"), F.when(same, F.greatest(s["best"], best)).otherwise(best).alias("best"),
+            F.when(same, s["miss"]).otherwise(s["miss"] * (F.lit(1.0) - s["best"])).alias("miss"), F.when(same, s["n"]).otherwise(s["n"] + 1).alias("n"),
+        )
+
+    done = lambda s: F.struct(S.round4(S.clamp01(F.lit(1.0) - s["miss"] * (F.lit(1.0) - s["best"]))).alias("confidence"), s["n"].alias("n"))
+    return F.aggregate(by, start, add, done)
 
 
 def fold_case(claims: DataFrame) -> Column:
@@ -44,12 +53,12 @@ def fold_case(claims: DataFrame) -> Column:
 def value_groups(claims: DataFrame, key=fold_case) -> DataFrame:
     """Ranked values: cluster, path, key, value, confidence, by (contributors), n (sources), rank from 0. ``key``: the frame ->
     a Column under which values are one."""
-    shown = F.min(F.struct((-S.upper_count(F.col("value"))).alias("u"), F.col("value").alias("v")))
     rows = claims.where("value IS NOT NULL")
-    rows = rows.withColumns({"key": key(rows), "distrust": -trust(F.col("src_type"))}).repartition("cluster")
-    groups = by_source(rows, ["cluster", "path", "key"], shown=shown, distrust=F.min("distrust"))
-    groups = groups.select("cluster", "path", "key", F.col("shown.v").alias("value"), "by", "distrust", "confidence", "n")
-    order = W.partitionBy("cluster", "path").orderBy(F.desc("confidence"), F.desc("n"), F.asc("distrust"), F.asc("value"))
+    rows = rows.withColumn("key", key(rows)).repartition("cluster")
+    shown = F.min(F.struct((-S.upper_count(F.col("value"))).alias("u"), F.col("value").alias("v")))
+    groups = rows.groupBy("cluster", "path", "key").agg(contributors().alias("by"), shown.alias("shown"), F.max(trust(F.col("src_type"))).alias("trust"))
+    groups = groups.withColumn("c", corroborate(F.col("by"))).select("cluster", "path", "key", F.col("shown.v").alias("value"), "by", "trust", "c.confidence", "c.n")
+    order = W.partitionBy("cluster", "path").orderBy(F.desc("confidence"), F.desc("n"), F.desc("trust"), F.asc("value"))
     return groups.withColumn("rank", F.row_number().over(order) - 1)
 
 
@@ -79,10 +88,8 @@ def experience_groups(claims: DataFrame) -> DataFrame:
 
 def _entries(rows: DataFrame, entry: Column, order: W) -> DataFrame:
     """cluster, entry, by, confidence, rank of rows merged by c and t."""
-    keys = ["cluster", "c", "t"]
-    merged = rows.groupBy(*keys).agg(entry.alias("entry"), F.min("seq").alias("seq"))
-    merged = merged.join(by_source(rows, keys), keys)
-    return merged.select("cluster", "entry", "by", "confidence", (F.row_number().over(order) - 1).alias("rank"))
+    merged = rows.groupBy("cluster", "c", "t").agg(entry.alias("entry"), F.min("seq").alias("seq"), contributors().alias("by"))
+    return merged.select("cluster", "entry", "by", corroborate(F.col("by"))["confidence"].alias("confidence"), (F.row_number().over(order) - 1).alias("rank"))
 
 
 def education_groups(claims: DataFrame) -> DataFrame:
@@ -94,8 +101,10 @@ def education_groups(claims: DataFrame) -> DataFrame:
 
 
 def _provenance(field: Column, by: Column) -> Column:
-    pairs = F.array_sort(F.array_distinct(F.transform(by, lambda c: F.struct(c["src_id"].alias("source"), c["method"].alias("method")))))
-    return F.transform(pairs, lambda c: F.struct(field.alias("field"), c["source"].alias("source"), c["method"].alias("method")))
+    """Each source and method of sorted contributors once."""
+    same = lambda c, d: (c["src_id"] == d["src_id"]) & (c["method"] == d["method"])
+    first = F.filter(by, lambda c, i: (i == 0) | ~same(c, F.get(by, i - 1)))
+    return F.transform(first, lambda c: F.struct(field.alias("field"), c["src_id"].alias("source"), c["method"].alias("method")))
 
 
 def profiles(claims: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Claims -> normalized claims and drop notes: one projection, two filters."""
+"""Claims -> normalized claims and drop notes: one projection, kept once, and two filters of it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .storage import cut
 
 # What a drop note says about each path.
 REASONS = {
@@ -33,7 +34,8 @@ def _education(e: Column) -> Column:
 
 
 def normalize_claims(claims: DataFrame, default_country: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(normalized, drops). Normalized claims carry ``value`` (text), ``exp`` or ``edu``."""
+    """(normalized, drops), from one pass that is kept in shared storage. Normalized claims carry ``value`` (text), ``exp`` or
+    ``edu``; drops carry ``message``."""
     v, path = F.col("v_str"), F.col("path")
     skill = S.normalize_skill(v)
     years = F.when(F.col("v_num").isNotNull(), F.when(F.col("v_num").between(0, 80), F.floor(F.col("v_num") + 0.5).cast("double"))).otherwise(S.parse_years(v))
@@ -54,5 +56,6 @@ def normalize_claims(claims: DataFrame, default_country: str | None = None) -> t
     )
     kept = F.coalesce(F.length("value") > 0, F.lit(False)) | F.col("exp").isNotNull() | F.col("edu").isNotNull()
     why = F.coalesce(*[F.when(path == p, F.lit(w)) for p, w in REASONS.items()])
-    message = F.format_string('dropped %s="%s" from %s (%s)', path, "raw", "src_id", why)
-    return out.where(kept).drop("raw"), out.where(~kept).select("record_id", "rec", "emit_ord", message.alias("message"))
+    message = F.when(~kept, F.format_string('dropped %s="%s" from %s (%s)', path, "raw", "src_id", why))
+    both = cut(out.withColumn("message", message).drop("raw"), "normalized")
+    return both.where("message IS NULL").drop("message"), both.where("message IS NOT NULL").select("record_id", "rec", "emit_ord", "message")

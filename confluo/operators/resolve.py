@@ -79,10 +79,10 @@ def resolve(claims: DataFrame) -> DataFrame:
     """
     recs = claims.select("rec").distinct()
     anchored = cut(shared_key_components(strong_keys(claims), "rec", "key").select(F.col("id").alias("rec"), F.col("label").alias("root")), "roots")
+    if recs.join(anchored, "rec", "left_anti").isEmpty():
+        return anchored.select("rec", F.col("root").alias("cluster"))
     named = cut(name_company_keys(claims).join(anchored, "rec", "left"), "named")
     loose = named.where("root IS NULL")
-    if loose.isEmpty():
-        return _clusters(recs.join(anchored, "rec", "left").select("rec", F.coalesce("root", "rec").alias("c")))
     first = loose.groupBy("key").agg(F.min("rec").alias("b"))
     comp = components(loose.join(first, "key").select(F.col("rec").alias("a"), "b"))
     comp = cut(loose.select("rec").distinct().join(comp, F.col("rec") == F.col("id"), "left").select("rec", F.coalesce("label", "rec").alias("comp")), "loose")
@@ -98,9 +98,6 @@ def resolve(claims: DataFrame) -> DataFrame:
         rows = named.join(keys, "key").select("comp", "rec", "key", "ord", "root")
         done = rows.groupBy("comp").applyInPandas(lambda p: _replay(p), "rec long, label long")
         weak = plain.where("contested IS NULL OR NOT contested").select("rec", F.coalesce("offer", "comp").alias("cluster")).union(done)
-    return _clusters(recs.join(anchored, "rec", "left").join(weak, "rec", "left").select("rec", F.coalesce("root", "cluster", "rec").alias("c")))
-
-
-def _clusters(joined: DataFrame) -> DataFrame:
-    """(rec, c) -> (rec, cluster), named by the smallest record, which may be one that was attached."""
+    joined = recs.join(anchored, "rec", "left").join(weak, "rec", "left").select("rec", F.coalesce("root", "cluster", "rec").alias("c"))
+    # the smallest record may be one that was attached
     return joined.join(joined.groupBy("c").agg(F.min("rec").alias("cluster")), "c").select("rec", "cluster")

@@ -178,7 +178,7 @@ def _extras(config: Config, compiled: list) -> list[Column]:
         extras.append(F.col("overall_confidence"))
     if config.include_provenance:
         used = F.flatten(F.array(*[F.when(v.isNotNull(), r.keys).otherwise(F.array().cast("array<string>")) for _, v, _, r in compiled]))
-        extras.append(F.filter("provenance", lambda p: F.array_contains(used, p["field"])).alias("provenance"))
+        extras.append(S.let(used, lambda u: F.filter("provenance", lambda p: F.array_contains(u, p["field"]))).alias("provenance"))
     return extras
 
 

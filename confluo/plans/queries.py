@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import scalars as S
-from ..operators.fuse import profiles, value_groups
+from ..operators.fuse import experience_groups, profiles, value_groups
 from ..operators.graph import shared_key_components
+from ..operators.resolve import resolve
+from ..operators.storage import cut
 from ..sources import synthetic
-from ..sources.adapters import parse_csv
+from ..sources.adapters import extract, parse_csv, parts, swept
+from . import people
 from .transform import CANONICAL, transform, violations
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?:\+|00)[0-9][0-9\s().-]{6,}[0-9]"
+EMAIL, PHONE = dims.EMAIL, dims.PHONE
 PLAN = "|".join(f"{k}(?:{p})" for k, (_, p) in dims.CALLING.items())
 METHOD = {"click": "structured_field", "view": "api_field", "signup": "labeled_field", "purchase": "regex_extraction", "error": "heuristic"}
 
@@ -23,16 +25,25 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _swept(docs: DataFrame, pattern: str) -> DataFrame:
-    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("raw"))
+def _swept(docs: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, raw): what the notes adapter sweeps out of each text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [(d, v) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for p, v in swept(t or "") if p == kind]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([v for _, v in found], pa.string())], ["doc_id", "raw"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, raw string")
 
 
 def extract_emails(spark, d):
-    return _swept(table(spark, d, "documents"), EMAIL).select("doc_id", "raw", S.normalize_email(F.col("raw")).alias("email"))
+    return _swept(table(spark, d, "documents"), "email").select("doc_id", "raw", S.normalize_email(F.col("raw")).alias("email"))
 
 
 def extract_phones(spark, d):
-    return _swept(table(spark, d, "documents"), PHONE).select("doc_id", "raw", S.normalize_phone(F.col("raw")).alias("phone"))
+    return _swept(table(spark, d, "documents"), "phone").select("doc_id", "raw", S.normalize_phone(F.col("raw")).alias("phone"))
 
 
 def norm_urls(spark, d):
@@ -62,9 +73,19 @@ def fold_company(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", S.fold_company(F.concat("s_name", F.lit(" Trading Co., Ltd."))).alias("folded"))
 
 
+def _extracted(spark, rows: DataFrame, kind: str, ordinal: str, content) -> DataFrame:
+    """Claims of one source per row."""
+    return extract(rows.select(F.col(ordinal).cast("long").alias("source_ord"), F.lit(kind).alias("type"), F.lit("s").alias("name"), content.alias("content")))
+
+
 def parse_props(spark, d):
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count(k).alias("n"))
+    """Events of each user as a JSON source: the type is the name, the property its years."""
+    e = table(spark, d, "events")
+    record = F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit('", "yoe": '), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit("}"))
+    text = e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("t"))
+    claims = _extracted(spark, text, "ats_json", "user_id", F.col("t"))
+    both = claims.groupBy("rec").agg(F.max(F.when(F.col("path") == "full_name", F.col("v_str"))).alias("event_type"), F.max(F.when(F.col("path") == "years_experience", F.col("v_num"))).alias("k"))
+    return both.groupBy("event_type").agg(F.sum("k").cast("bigint").alias("total"), F.count("k").alias("n"))
 
 
 def base_confidence(spark, d):
@@ -102,16 +123,23 @@ def pick_display(spark, d):
 
 
 def coalesce_merge(spark, d):
-    o = table(spark, d, "orders").withColumn("urgent", F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")))
-    done = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
-    first = lambda c: F.min(F.when(c.isNotNull(), F.struct("o_orderkey", c.alias("v"))))["v"]
-    return o.groupBy("o_custkey").agg(first(F.col("urgent")).alias("urgent"), first(done).alias("done"), F.max(F.col("o_orderstatus") == "O").alias("is_open"))
+    """Orders as roles of their customer, merged by status and priority: start from the first that has one, end if any is open."""
+    o = table(spark, d, "orders")
+    role = F.struct(
+        F.col("o_orderstatus").alias("company"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_totalprice") > 250_000, F.date_format("o_orderdate", "yyyy-MM")).alias("start"),
+        F.when(F.col("o_totalprice") < 50_000, "present").alias("end"), F.lit(None).cast("string").alias("summary"),
+    )
+    claims = o.select(
+        F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("rec"), F.lit(0).cast("long").alias("emit_ord"), F.lit("experience").alias("path"), role.alias("exp"), F.concat(F.lit("csv:"), F.col("o_orderkey").cast("string")).alias("src_id"),
+        F.lit("structured_field").alias("method"), F.lit(0.3).alias("confidence"),
+    )
+    return experience_groups(claims).select(F.col("cluster").alias("o_custkey"), "entry.company", "entry.title", "entry.start", F.col("entry.end").alias("until"), "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 def _doc_keys(spark, d):
     docs = table(spark, d, "documents")
-    mails = _swept(docs, EMAIL).select("doc_id", F.concat(F.lit("email:"), S.normalize_email(F.col("raw"))).alias("key"))
-    phones = _swept(docs, PHONE).select("doc_id", F.concat(F.lit("phone:"), S.normalize_phone(F.col("raw"))).alias("key"))
+    mails = _swept(docs, "email").select("doc_id", F.concat(F.lit("email:"), S.normalize_email(F.col("raw"))).alias("key"))
+    phones = _swept(docs, "phone").select("doc_id", F.concat(F.lit("phone:"), S.normalize_phone(F.col("raw"))).alias("key"))
     return mails.union(phones).where("key IS NOT NULL").distinct()
 
 
@@ -126,37 +154,39 @@ def strong_key_cc(spark, d):
 
 
 def weak_attach(spark, d):
-    """Customers with little money go to the one rich customer of their nation and segment, if there is exactly one."""
-    c = table(spark, d, "customer")
-    rich, key = c.where("c_acctbal > 8000"), ["c_nationkey", "c_mktsegment"]
-    offers = rich.groupBy(key).agg(F.min("c_custkey").alias("offer"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return c.where("c_acctbal <= 8000").join(offers, key, "left").select("c_custkey", "offer")
-
-
-def provenance_semi(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    return docs.join(labels, "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+    """Customers as records: the rich have an address, all have a segment as name and a nation as company. The others go to the
+    one rich customer of their name and company, if there is exactly one, or else with each other."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("rec"), F.col("c_mktsegment").alias("name"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"), F.lit(" Ltd")).alias("company"), (F.col("c_acctbal") > 8000).alias("rich"))
+    nothing = F.lit(None).cast("struct<company:string>")
+    each = F.array(
+        F.struct(F.lit("full_name").alias("path"), F.col("name").alias("value"), nothing.alias("exp")), F.struct(F.lit("experience").alias("path"), F.lit(None).cast("string").alias("value"), F.struct("company").alias("exp")),
+        F.struct(F.when(F.col("rich"), "email").alias("path"), F.concat("rec", F.lit("@rich.example")).alias("value"), nothing.alias("exp")),
+    )
+    claims = c.select("rec", F.posexplode(each).alias("emit_ord", "s")).select("rec", "emit_ord", "s.path", "s.value", "s.exp").where("path IS NOT NULL")
+    return resolve(cut(claims, "records")).select(F.col("rec").alias("c_custkey"), "cluster")
 
 
 def candidate_id(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.candidate_id(F.col("c_name")).alias("candidate_id"))
 
 
-def constraint_violations(spark, d):
-    docs = table(spark, d, "documents")
-    broken = F.array_compact(F.array(F.when(S.is_blank(F.col("text")), "text"), F.when(F.col("n_chars") != F.length("text"), "n_chars"), F.when(~F.col("lang").rlike(r"^[a-z]{2}\z"), "lang"), F.when(F.col("text").rlike("[0-9@]"), "contact")))
-    return docs.select("doc_id", F.explode(broken).alias("broken"))
+def split_list(spark, d):
+    def run(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            found = [(k, i, x) for k, t in zip(b["p_partkey"].to_pylist(), b["t"].to_pylist(), strict=True) for i, x in enumerate(parts(t, bullets=True))]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["p_partkey", "pos", "item"])
 
-def split_list(spark, d):
-    words = S.split_list(F.concat_ws("; ", "p_name", "p_brand", "p_type"), bullets=True)
-    return table(spark, d, "part").select("p_partkey", F.posexplode(words).alias("pos", "item"))
+    return table(spark, d, "part").select("p_partkey", F.concat_ws("; ", "p_name", "p_brand", "p_type").alias("t")).mapInArrow(run, "p_partkey long, pos int, item string")
 
 
 def label_lines(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
-    pattern = r"^\s*([A-Za-z][A-Za-z ./-]*?)\s*[:=]\s*(.+)$"
-    return lines.where(F.col("line").rlike(pattern)).select("doc_id", "pos", F.lower(F.regexp_extract("line", pattern, 1)).alias("label"), F.regexp_extract("line", pattern, 2).alias("value"))
+    """Parts as notes with labelled lines."""
+    note = F.concat_ws("\r\n", F.concat(F.lit("Name: "), "p_name"), F.concat(F.lit("  skills - "), "p_brand", F.lit(", "), "p_type", F.lit(" • "), F.upper("p_brand")), F.concat(F.lit("BASED IN: "), "p_type", F.lit(", Germany")), F.lit("Other: nothing"))
+    claims = _extracted(spark, table(spark, d, "part"), "notes", "p_partkey", note)
+    return claims.select(F.col("source_ord").alias("p_partkey"), F.col("emit_ord").alias("pos"), "path", F.col("v_str").alias("value"), "method", "confidence")
 
 
 def csv_roundtrip(spark, d):
@@ -178,7 +208,11 @@ def csv_roundtrip(spark, d):
 
 def transform_people(spark, d):
     """The whole run over synthetic sources: 500 people, two records each."""
-    return transform(synthetic.sources(spark, 500, 100)).profiles.select(*CANONICAL)
+    p = transform(synthetic.sources(spark, 500, 100)).profiles
+    return p.select(
+        "candidate_id", "full_name", F.array_join("emails", ",").alias("email"), F.array_join("phones", ",").alias("phone"), "location.city", "location.country", "headline", F.col("experience")[0]["company"].alias("company"),
+        F.array_join(F.col("skills.name"), ",").alias("skills"),
+    )
 
 
 def flagship(spark, d):
@@ -206,10 +240,12 @@ QUERIES = {
     f.__name__: f
     for f in [
         extract_emails, extract_phones, norm_urls, norm_month, extract_year, norm_name, fold_company, parse_props, base_confidence, noisy_or_agg, pick_multi, pick_single, pick_display,
-        coalesce_merge, strong_key_cc_docs, strong_key_cc, weak_attach, provenance_semi, candidate_id, constraint_violations, split_list, label_lines, csv_roundtrip, transform_people, profile_contacts,
+        coalesce_merge, strong_key_cc_docs, strong_key_cc, weak_attach, candidate_id, split_list, label_lines, csv_roundtrip, transform_people, profile_contacts,
     ]
 }
 
+QUERIES |= people.QUERIES
+
 _R4 = "floor(({}) * 10000.0 + 0.5) / 10000.0"
 _MAIL = f"SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS raw FROM documents"
 _TEL = f"SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE}')) AS raw FROM documents"
@@ -244,14 +280,29 @@ SELECT page_id, 'https://' || host || regexp_replace(path, '/$', '') AS url,
     "pick_multi": f"WITH {_CLAIMS} SELECT cluster, rank, value FROM q",
     "pick_single": f"WITH {_CLAIMS} SELECT cluster, value, confidence FROM q WHERE rank = 0",
     "pick_display": "SELECT lower(p_type) AS key, arg_min(v, (-length(regexp_replace(v, '[^A-Z]', '', 'g')), v)) AS shown, count(*) AS n FROM (SELECT p_type, unnest([p_type, lower(p_type), array_to_string(list_transform(string_split(p_type, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')]) AS v FROM part) GROUP BY lower(p_type)",
-    "coalesce_merge": "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) FILTER (WHERE starts_with(o_orderpriority, '1')) AS urgent, arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS done, bool_or(o_orderstatus = 'O') AS is_open FROM orders GROUP BY o_custkey",
+    "coalesce_merge": f"""WITH o AS (SELECT *, CASE WHEN o_totalprice > 250000 THEN strftime(o_orderdate, '%Y-%m') END AS s, o_totalprice < 50000 AS open FROM orders),
+g AS (SELECT o_custkey, o_orderstatus AS company, o_orderpriority AS title, arg_min(s, o_orderkey) FILTER (WHERE s IS NOT NULL) AS start, CASE WHEN bool_or(open) THEN 'present' END AS until, min(o_orderkey) AS seq,
+  {_R4.format("1.0 - list_reduce(list_prepend(1.0::DOUBLE, list(1.0 - 0.3::DOUBLE)), lambda a, b: a * b)")} AS confidence FROM o GROUP BY ALL)
+SELECT o_custkey, company, title, start, until, confidence, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(until = 'present', false) DESC, coalesce(start, '0000-00') DESC, company, seq) - 1 AS rank FROM g""",
     "strong_key_cc_docs": f"WITH RECURSIVE {_KEYS}, {_CC.format(id='doc_id')} SELECT a AS doc_id, min(b) AS label FROM r GROUP BY a",
     "strong_key_cc": f"WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey, l_partkey || '|' || strftime(l_shipdate, '%Y-%m-%d') AS key FROM lineitem), {_CC.format(id='l_orderkey')} SELECT a AS l_orderkey, min(b) AS label FROM r GROUP BY a",
-    "weak_attach": "SELECT c_custkey, offer FROM customer LEFT JOIN (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS offer FROM customer WHERE c_acctbal > 8000 GROUP BY ALL HAVING count(*) = 1) USING (c_nationkey, c_mktsegment) WHERE c_acctbal <= 8000",
-    "provenance_semi": "SELECT source, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source",
+    "weak_attach": """WITH c AS (SELECT c_custkey, c_acctbal > 8000 AS rich, c_nationkey AS a, c_mktsegment AS b FROM customer), g AS (SELECT a, b, count(*) FILTER (WHERE rich) AS n, min(c_custkey) AS first, min(c_custkey) FILTER (WHERE NOT rich) AS poor FROM c GROUP BY ALL)
+SELECT c_custkey, CASE WHEN n = 1 THEN first WHEN rich THEN c_custkey ELSE poor END AS cluster FROM c JOIN g USING (a, b)""",
     "candidate_id": f"SELECT c_custkey, 'cand_' || lpad(lower(to_hex({_FNV})), 16, '0') AS candidate_id FROM (SELECT c_custkey, hex(encode(lower(trim(c_name)))) AS h FROM customer)",
-    "constraint_violations": r"SELECT doc_id, unnest(list_filter([CASE WHEN text IS NULL OR regexp_matches(text, '^\s*(n/a|na|null|-|unknown)?\s*$') THEN 'text' END, CASE WHEN n_chars <> length(text) THEN 'n_chars' END, CASE WHEN NOT regexp_full_match(lang, '[a-z]{2}') THEN 'lang' END, CASE WHEN regexp_matches(text, '[0-9@]') THEN 'contact' END], lambda x: x IS NOT NULL)) AS broken FROM documents",
     "split_list": "SELECT p_partkey, CAST(unnest(range(0, len(x))) AS INTEGER) AS pos, unnest(x) AS item FROM (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || '; ' || p_brand || '; ' || p_type, '[,;\\n|•·]+'), lambda v: trim(v)), lambda v: v <> '') AS x FROM part)",
-    "label_lines": r"SELECT doc_id, pos, lower(regexp_extract(line, p, 1)) AS label, regexp_extract(line, p, 2) AS value FROM (SELECT doc_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS pos, unnest(x) AS line, '^\s*([A-Za-z][A-Za-z ./-]*?)\s*[:=]\s*(.+)$' AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents)) WHERE regexp_matches(line, p)",
+    "label_lines": f"""SELECT p_partkey, pos, path, value, 'labeled_field' AS method, {_R4.format("0.55::DOUBLE * 0.85::DOUBLE")} AS confidence FROM (SELECT p_partkey, unnest([{{'pos': 0::BIGINT, 'path': 'full_name', 'value': p_name}}, {{'pos': 1, 'path': 'skill', 'value': p_brand}}, {{'pos': 2, 'path': 'skill', 'value': p_type}},
+  {{'pos': 3, 'path': 'location.city', 'value': p_type}}, {{'pos': 4, 'path': 'location.country', 'value': 'Germany'}}], recursive := true) FROM part)""",
     "csv_roundtrip": "SELECT n_nationkey, n_name || ',\"x\"' || chr(10) AS cell, n_regionkey FROM nation",
 }
+_ID = f"'cand_' || lpad(lower(to_hex({_FNV})), 16, '0')"
+SQL["transform_people"] = f"""WITH p AS (SELECT i, hex(encode(email)) AS h, email FROM (SELECT i, 'p' || lower(to_base(i, 36)) || '@people.example' AS email FROM range(500) t(i)))
+SELECT {_ID} AS candidate_id, {synthetic.GIVEN}[i % {len(synthetic.GIVEN)} + 1] || ' ' || {synthetic.FAMILY}[i % {len(synthetic.FAMILY)} + 1] AS full_name, email, '+447' || lpad((i + 400000000)::VARCHAR, 9, '0') AS phone,
+  {[t for t, _, _ in synthetic.TOWNS]}[i % 4 + 1] AS city, {[c for _, _, c in synthetic.TOWNS]}[i % 4 + 1] AS country, {synthetic.ROLES}[i * 3 % 4 + 1] AS headline, {synthetic.EMPLOYERS}[i % 5 + 1] AS company,
+  {synthetic.SHARED}[i % 3 + 1] || CASE i % 3 WHEN 0 THEN ',Go' WHEN 1 THEN ',Kubernetes' ELSE '' END || ['{"','".join([",Machine Learning", ",Docker"])}'][i % 2 + 1] || CASE i % 3 WHEN 2 THEN ',Falconry' ELSE '' END AS skills FROM p"""
+SQL["profile_contacts"] = f"""WITH RECURSIVE {_KEYS}, {_CC.format(id="doc_id")}, lab AS (SELECT a AS doc_id, min(b) AS label FROM r GROUP BY a),
+g AS (SELECT label, split_part(key, ':', 1) AS path, split_part(key, ':', 2) AS value, count(*) AS n, {_R4.format(f"1.0 - list_reduce(list_prepend(1.0::DOUBLE, list(1.0 - {_R4.format('0.55::DOUBLE * 0.7::DOUBLE')})), lambda a, b: a * b)")} AS conf FROM k JOIN lab USING (doc_id) GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY label, path ORDER BY conf DESC, n DESC, value) AS rank FROM g),
+p AS (SELECT coalesce(string_agg(value, ',' ORDER BY rank) FILTER (WHERE path = 'email'), '') AS emails, coalesce(string_agg(value, ',' ORDER BY rank) FILTER (WHERE path = 'phone'), '') AS phones, max(conf) FILTER (WHERE path = 'email' AND rank = 1) AS a, max(conf) FILTER (WHERE path = 'phone' AND rank = 1) AS b FROM q GROUP BY label)
+SELECT {_ID} AS candidate_id, emails, phones, {_R4.format("(coalesce(3.0 * a, 0.0) + coalesce(2.0 * b, 0.0)) / (if(a IS NULL, 0.0, 3.0) + if(b IS NULL, 0.0, 2.0))")} AS overall_confidence, 0::BIGINT AS broken
+FROM (SELECT *, hex(encode(lower(split_part(CASE WHEN emails <> '' THEN emails ELSE phones END, ',', 1)))) AS h FROM p)"""
+SQL |= people.SQL

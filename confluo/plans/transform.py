@@ -74,7 +74,6 @@ def transform_claims(claims: DataFrame, config: dict | Config | None = None, def
     """``transform`` from stored claims, such as those that ``streaming.ingest`` gathers."""
     parsed = parse_config(config) if config is not None and not isinstance(config, Config) else config
     normalized, drops = normalize_claims(claims, default_country)
-    normalized = cut(normalized, "normalized")
     cluster = cut(resolve(normalized), "clusters")
     fused = profiles(normalized.join(cluster, "rec"))
     notes = drops.join(cluster, "rec").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rec", "emit_ord", "message"))), lambda n: n["message"]).alias("notes"))

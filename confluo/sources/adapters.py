@@ -24,16 +24,9 @@ CLAIMS = (
 )
 Claim = tuple[int, str, object, str]  # record, path, value, method
 
-EMAIL = re.compile(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", re.I | re.A)
-WEB = re.compile(r"\b(?:https?://|www\.)[^\s,;)]+|\b(?:linkedin\.com|github\.com)/[^\s,;)]+", re.I)
-PHONE = re.compile(r"(?:\+|00)[0-9][0-9\s().-]{6,}[0-9]")
-YEARS = re.compile(r"([0-9]{1,2})\+?\s*(?:years?|yrs?)\b", re.I)
-ROLE_AT = re.compile(r"\b(?:[Cc]urrently\s+)?(?:a |an )?([A-Za-z][A-Za-z+/ &]{2,40}?)\s+at\s+([A-Z][A-Za-z0-9&.,' -]{1,40})")
-LABELLED = re.compile(r"^\s*([A-Za-z][A-Za-z ./-]*?)\s*[:\-]\s*(.+)\Z")
-DEGREE = re.compile(r"\b(B\.?Tech|B\.?E|M\.?Tech|M\.?E|B\.?Sc|M\.?Sc|B\.?A|M\.?A|Ph\.?D|MBA|Bachelor(?:'s)?|Master(?:'s)?|Diploma)\b", re.I | re.A)
-WHEN = r"[A-Za-z]{3,9}\.?\s*[0-9]{4}|[0-9]{1,2}[/-][0-9]{4}|[0-9]{4}-[0-9]{2}"
-RANGE = re.compile(rf"({WHEN})\s*(?:-|–|—|to)\s*({WHEN}|present|current)", re.I)
-YEAR = re.compile(r"\b(19[0-9]{2}|20[0-9]{2})\b", re.A)
+EMAIL, WEB, PHONE = re.compile(dims.EMAIL, re.I | re.A), re.compile(dims.WEB, re.I), re.compile(dims.PHONE)
+YEARS, ROLE_AT, LABELLED = re.compile(dims.YEARS_OF, re.I), re.compile(dims.ROLE_AT), re.compile(dims.LABELLED)
+DEGREE, RANGE, YEAR = re.compile(dims.DEGREE, re.I | re.A), re.compile(dims.RANGE, re.I), re.compile(dims.YEAR, re.A)
 SPACE = " \t\n\r\v\f\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
@@ -285,19 +278,19 @@ def from_resume(text: str) -> Iterator[Claim]:
         found.append((link_path(v) if p == "links.?" else p, v, "regex_extraction"))
     lines = [strip(x) for x in re.split("\r?\n", text)]
     head = next((x for x in lines if x), "")
-    if 1 <= len(head.split()) <= 4 and re.fullmatch(r"[A-Za-z][A-Za-z'.-]*(\s+[A-Za-z][A-Za-z'.-]*)*", head):
+    if 1 <= len(head.split()) <= 4 and re.fullmatch(dims.PERSON_LINE, head):
         found.append(("full_name", head, "heuristic"))
     held = sections(lines)
     for line in held.get("skills", []):
-        found += [("skill", x, "labeled_field") for x in parts(re.sub("^[A-Za-z ]{2,30}:", "", line), bullets=True)]
+        found += [("skill", x, "labeled_field") for x in parts(re.sub(dims.SKILL_GROUP, "", line), bullets=True)]
     for line in held.get("education", []):
-        degree, years, field = DEGREE.search(line), YEAR.findall(line), re.search(r"\bin\s+([A-Za-z &]{3,40})", line, re.I)
+        degree, years, field = DEGREE.search(line), YEAR.findall(line), re.search(dims.FIELD_OF_STUDY, line, re.I)
         if degree or years:
-            school = strip(re.sub(r"\bin\s+[A-Za-z &]+", "", DEGREE.sub("", re.split("[,–—-]", line)[0], count=1), count=1, flags=re.I))
+            school = strip(re.sub(dims.STUDIES, "", DEGREE.sub("", re.split("[,–—-]", line)[0], count=1), count=1, flags=re.I))
             entry = {"institution": school if len(school) > 1 else None, "degree": degree and degree[0], "field": field and strip(field[1]), "end_year": years[-1] if years else None}
             found.append(("education", entry, "regex_extraction"))
     for line in held.get("experience", []):
-        dates, at = RANGE.search(line), re.match(r"(.*?)\s+(?:at|@|—|–|-|,)\s+(.*?)(?:\s*\(|\Z)", line)
+        dates, at = RANGE.search(line), re.match(dims.TITLE_AT_COMPANY, line)
         if dates or at:
             both = (without_dates(at[2]), without_dates(at[1])) if at and at[1] and at[2] else (None, None)
             found.append(("experience", role(*both, dates and dates[1], dates and dates[2]), "regex_extraction"))
