@@ -3,15 +3,17 @@
 A document's set holds the distinct ``WIDTH``-word shingles of its text as 64-bit hashes. Its sketch spreads the
 hashes over ``BUCKETS`` registers; a register keeps the leading-zero count and ten mantissa bits of its smallest
 hash (16 bits together). An empty register borrows from a filled one in a fixed random order, so that short
-documents are sketched alike. ``ROWS`` registers make a band; two documents of similarity 0.75 share none of the
-32 bands with a probability of 5e-6.
+documents are sketched alike. ``ROWS`` registers make a band. Two documents of similarity 0.75 share no band with a
+probability of 5e-6 if their registers agree independently; the README has the measured loss, which is largest for sets of
+a few shingles.
 
 Steps: equal sets collapse into one node first (a group of copies costs one row). In each band bucket every node
 is paired with the smallest one, never all with all. Pairs pass a collision-corrected Jaccard estimate from the
-sketches (more than four standard deviations below the threshold) and are then confirmed on the full sets of the whole
-texts; links are contracted to components. Buckets that still hold several components go on: blocks of their members
-are held against each other inside a task, by sketches and then on full sets, and only links leave it. So no partner is
-dropped, no bucket is capped, and no group's pairs are written out.
+sketches (more than four standard deviations below the threshold; sets of up to ``SMALL`` shingles need not) and are then
+confirmed on the full sets of the whole texts; links are contracted to components. Buckets that still hold several
+components go on: their members are dealt to blocks, and those outside the most frequent component visit every block, some at
+a time, where they are held against its members inside a task, by sketches and then on full sets. Only links leave it. So no partner is
+dropped, no bucket is capped, and no group's pairs are written out. Keys of large buckets are salted in joins.
 
 Defined results: a text without words (null, empty) has an empty set and no link; rows with a null doc_id take
 part in no link, have a null component and are kept; repeated rows of a doc_id each get a row. Links are between doc_ids: ``dedup`` drops all rows of a doc_id
@@ -38,8 +40,10 @@ PERCENT = 75
 ROWS, BANDS = 4, 32
 BUCKETS = ROWS * BANDS
 MARGIN = 0.16  # more than four standard deviations of the estimate at 0.75
-BLOCK = 512  # members of a bucket that one task holds against as many others
-BROADCAST_IDS = 4_000_000  # 32 MB; more ids are joined by a shuffle
+SMALL = 64
+BLOCK = 512  # members of a bucket in one task, and guests that it holds against them
+HOT, HOT_KEYS = 1000, 100_000  # rows of a bucket that one task takes; more if there are more such buckets than that
+BROADCAST_IDS = 1_000_000  # 8 MB, some 24 as a hash table; more ids are joined by a shuffle
 BROADCAST_SKETCHES = 40_000  # 10 MB of 256 bytes each
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,6 +105,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
+def able(e: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether pairs with these estimates and sizes can be links: sizes alone can rule it out, and small sets are
+    confirmed whatever the estimate."""
+    low, high = np.minimum(na, nb), np.maximum(na, nb)
+    return (100 * low >= PERCENT * high) & ((e >= PERCENT / 100 - MARGIN) | (high <= SMALL))
+
+
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
 
@@ -143,10 +154,10 @@ def _among(df: DataFrame, ids: DataFrame, on: str) -> tuple[int, DataFrame]:
     return n, df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, "left_semi")
 
 
-def _both(pairs: DataFrame, df: DataFrame, column: str, small: bool) -> DataFrame:
-    """``pairs`` with ``column`` of their a and b, as <first letter>a and <first letter>b."""
+def _both(pairs: DataFrame, df: DataFrame, columns: list[str], small: bool) -> DataFrame:
+    """``pairs`` with ``columns`` of their a and b, as <first letter>a and <first letter>b."""
     for k in "ba":
-        side = df.select(F.col("id").alias(k), F.col(column).alias(column[0] + k))
+        side = df.select(F.col("id").alias(k), *[F.col(c).alias(c[0] + k) for c in columns])
         pairs = pairs.join(F.broadcast(side) if small else side, k)
     return pairs
 
@@ -157,7 +168,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ok = estimate(_registers(b["ra"]), _registers(b["rb"])) >= PERCENT / 100 - MARGIN
+                ok = able(estimate(_registers(b["ra"]), _registers(b["rb"])), b["na"].to_numpy(), b["nb"].to_numpy())
                 yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(ok))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,45 +187,62 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def ids(p: DataFrame) -> DataFrame:
         return p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    n, regs = _among(nodes.select("id", "regs"), ids(pairs), "id")
+    n, regs = _among(nodes.select("id", "regs", "n"), ids(pairs), "id")
     small = n <= BROADCAST_SKETCHES
     regs = regs if small else cut(regs, "regs")
-    pairs = cut(_both(pairs, regs, "regs", small).select("a", "b", "ra", "rb").mapInArrow(likely, "a long, b long"), "likely")
+    pairs = cut(_both(pairs, regs, ["regs", "n"], small).select("a", "b", "ra", "rb", "na", "nb").mapInArrow(likely, "a long, b long"), "likely")
     if pairs.isEmpty():
         return pairs
     texts = cut(_among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids(pairs), "id")[1], "texts")
     # sorted by a: the set of a is made once for a run of pairs
-    both = _both(pairs, texts, "text", False)
+    both = _both(pairs, texts, ["text"], False)
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"), "links")
 
 
+def _bucketed(buckets: DataFrame, full: DataFrame) -> DataFrame:
+    """``buckets`` (key, ...) with the columns of ``full`` (key, size, ...; kept in storage) of their key; a bucket of many rows
+    is spread by a salt. Its keys are few: at most ``HOT_KEYS``, as larger buckets count as hot if there are more."""
+    hot_at = max(HOT, (full.agg(F.sum("size")).first()[0] or 0) // HOT_KEYS)
+    splits = F.ceil(F.col("size") / hot_at).cast("int")
+    hot = full.where(F.col("size") > hot_at).select("key", splits.alias("splits"))
+    salted = buckets.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("splits", F.lit(1))).cast("int")).drop("splits")
+    return salted.join(full.withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))), ["key", "salt"]).drop("salt")
+
+
 def _opened(held: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, id, label, size) of the buckets that hold several components."""
-    named = held.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    open_ = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-    return cut(named.join(open_.select("key", "size"), "key"), "open")
+    """(key, id, label, size, major, others) of the buckets that hold several components; major is the most frequent of them, and
+    others counts the members outside it."""
+    named = cut(held.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "named")
+    each = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_ = each.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("size > top.n")
+    open_ = open_.select("key", "size", F.col("top.label").alias("major"), (F.col("size") - F.col("top.n")).alias("others"))
+    return cut(_bucketed(named, cut(open_, "major")), "open")
 
 
 def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between different components inside buckets, found without writing pairs out.
 
-    A bucket is dealt to tasks by pairs of blocks of ``BLOCK`` members at most. In a task, members outside the most
-    frequent component are held against the others by their sketches; likely partners are confirmed on the full sets,
-    the likeliest first, until one links to each component. A pair that shares several bands is looked at in the first.
+    A bucket's members are dealt to blocks of about ``BLOCK``, each to one. Those outside the most frequent component are guests
+    of all blocks, in groups of about ``BLOCK``; a task has the members of a block and one group of guests. It holds the
+    guests against the members by their sketches; likely partners are confirmed on the full sets, the likeliest first, until
+    one links to each component. A pair that shares several bands is looked at in the first.
     """
     ids = held.select("id").distinct()
-    members = _among(nodes.select("id", "regs"), ids, "id")[1]
+    members = _among(nodes.select("id", "regs", "n"), ids, "id")[1]
     members = members.join(_among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")[1], "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = held.select("key", "id", "label", own.alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
-    rows = rows.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "id", "label").join(members, "id")
-
-    def links(key: int, ids: np.ndarray, labels: np.ndarray, regs: np.ndarray, texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
-        names, counts = np.unique(labels, return_counts=True)
-        rare = labels != names[counts.argmax()]
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    dealt = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "id"), count(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
+    rare = (F.col("label") != F.col("major")).alias("rare")
+    home = held.select("key", "id", "label", rare, F.lit(False).alias("guest"), dealt(0, "size").alias("x"), each("others").alias("y"))
+    guests = held.where("label <> major").select("key", "id", "label", rare, F.lit(True).alias("guest"), each("size").alias("x"), dealt(1, "others").alias("y"))
+    rows = home.union(guests).join(members, "id")
+
+    def links(key: int, t: pa.Table) -> Iterator[tuple[int, int]]:
+        guest, ids, labels, rare, n, regs, texts = (*(t[c].to_numpy() for c in ("guest", "id", "label", "rare", "n")), _registers(t["regs"]), t["text"])
         keys = bands(regs)
         here = int((keys == key).all(axis=0).argmax())
+        home = np.flatnonzero(~guest)
         sets: dict[int, np.ndarray] = {}
 
         def of(i: int) -> np.ndarray:
@@ -222,12 +250,12 @@ def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 sets[i] = shingles(texts[i].as_py())
             return sets[i]
 
-        for i in np.flatnonzero(rare):
-            e = estimate(regs, regs[i])
-            able = (labels != labels[i]) & (e >= PERCENT / 100 - MARGIN) & ((keys == keys[i]).argmax(axis=1) == here)
-            able[:i] &= ~rare[:i]  # two such members are compared once
+        for i in np.flatnonzero(guest) if len(home) else []:
+            e = estimate(regs[home], regs[i])
+            likely = (labels[home] != labels[i]) & able(e, n[home], n[i]) & ((keys[home] == keys[i]).argmax(axis=1) == here)
+            likely &= ~rare[home] | (ids[home] > ids[i])  # two that are guests of each other are compared once
             done: set[int] = set()
-            for j in np.flatnonzero(able)[np.argsort(-e[able], kind="stable")]:
+            for j in home[likely][np.argsort(-e[likely], kind="stable")]:
                 if labels[j] not in done:
                     both = len(np.intersect1d(of(i), of(j), assume_unique=True))
                     if 100 * both >= PERCENT * (len(of(i)) + len(of(j)) - both):
@@ -239,7 +267,7 @@ def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             t = pa.Table.from_batches(kept)
-            found = list(links(int(now[0]), t["id"].to_numpy(), t["label"].to_numpy(), _registers(t["regs"]), t["text"]))
+            found = list(links(int(now[0]), t))
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -256,8 +284,8 @@ def _across(held: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield close()
         trim()
 
-    dealt = rows.select("key", "x", "y", "id", "label", "regs", "text").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return cut(dealt.mapInArrow(run, "a long, b long"), "across")
+    tasks = rows.select("key", "x", "y", "id", "label", "rare", "guest", "n", "regs", "text").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return cut(tasks.mapInArrow(run, "a long, b long"), "across")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -270,10 +298,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rows = cut(sketches(docs), "sketches")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     # One node per distinct set, named by its smallest doc_id.
-    nodes = cut(some.groupBy("fp").agg(F.min(F.struct("doc_id", "regs")).alias("s")).select(F.col("s.doc_id").alias("id"), "fp", F.col("s.regs").alias("regs")), "nodes")
+    nodes = cut(some.groupBy("fp").agg(F.min(F.struct("doc_id", "regs", "n")).alias("s")).select(F.col("s.doc_id").alias("id"), "fp", "s.regs", "s.n"), "nodes")
     buckets = band_rows(nodes)
-    full = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    held = cut(buckets.join(full, "key"), "buckets")
+    full = cut(buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"), "full")
+    held = cut(_bucketed(buckets, full), "buckets")
     star = cut(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
     label = cut(components(_verify(star, nodes, docs)), "labels")
     held = _opened(held.where("size > 2"), label)
