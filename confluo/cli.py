@@ -1,4 +1,4 @@
-"""Command line: ``python -m confluo.cli -i PATH [-i PATH ...] [-c CONFIG] [-o OUT] [--default-country CC]``."""
+"""Command line: ``python -m confluo.cli -i PATH [PATH ...] [-c CONFIG] [-o OUT] [--default-country CC] [--pdf-text MODULE:FUNCTION]``."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .plans.project import parse_config, to_records, validate_records
 from .plans.transform import CANONICAL, Result, transform, validate
-from .sources.load import load_sources
+from .sources.load import load_sources, text_extractor
 
 
 def records(result: Result) -> DataFrame:
@@ -27,13 +27,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-c", "--config", help="output config (JSON)")
     p.add_argument("-o", "--out", help="file to write; a path that ends with / becomes a folder of JSON lines, written by the executors")
     p.add_argument("--default-country", help="ISO alpha-2 hint for phone numbers without a country code")
+    p.add_argument("--pdf-text", help="package.module:function that turns the bytes of a PDF into text")
     p.add_argument("--compact", action="store_true", help="no indentation")
     p.add_argument("--quiet", action="store_true", help="no summary on stderr")
     a = p.parse_args(argv)
     try:
         config = parse_config(json.load(open(a.config, encoding="utf-8"))) if a.config else None
         spark = SparkSession.builder.getOrCreate()
-        sources, skipped = load_sources(spark, a.inputs)
+        sources, skipped = load_sources(spark, a.inputs, text_extractor(a.pdf_text) if a.pdf_text else None)
         result = transform(sources, config, a.default_country)
         validate(result.profiles)
         if result.records is not None:
@@ -55,6 +56,8 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{count} profile(s) from {sources.count()} source(s)", file=sys.stderr)
             for r in skipped.toLocalIterator():
                 print(f"skipped {r['name']}: {r['reason']}", file=sys.stderr)
+            for r in result.failed.toLocalIterator():
+                print(f"unreadable {r['name']}: {r['reason']}", file=sys.stderr)
             for r in result.diagnostics().toLocalIterator():
                 print(r["message"], file=sys.stderr)
     except Exception as e:  # noqa: BLE001

@@ -12,7 +12,7 @@ from ..operators.graph import shared_key_components
 from ..operators.resolve import resolve
 from ..operators.storage import cut
 from ..sources import synthetic
-from ..sources.adapters import extract, parse_csv, parts, swept
+from ..sources.adapters import extract, parse_csv, parts, split_errors, swept
 from . import people
 from .transform import CANONICAL, transform, violations
 
@@ -75,7 +75,7 @@ def fold_company(spark, d):
 
 def _extracted(spark, rows: DataFrame, kind: str, ordinal: str, content) -> DataFrame:
     """Claims of one source per row."""
-    return extract(rows.select(F.col(ordinal).cast("long").alias("source_ord"), F.lit(kind).alias("type"), F.lit("s").alias("name"), content.alias("content")))
+    return split_errors(extract(rows.select(F.col(ordinal).cast("long").alias("source_ord"), F.lit(kind).alias("type"), F.lit("s").alias("name"), content.alias("content"))))[0]
 
 
 def parse_props(spark, d):

@@ -12,7 +12,7 @@ from ..operators.fuse import profiles
 from ..operators.normalize import normalize_claims
 from ..operators.resolve import resolve
 from ..operators.storage import cut
-from ..sources.adapters import extract
+from ..sources.adapters import extract, split_errors
 from .project import Config, parse_config, project
 
 CANONICAL = ["candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education", "provenance", "overall_confidence"]
@@ -21,10 +21,12 @@ CANONICAL = ["candidate_id", "full_name", "emails", "phones", "location", "links
 @dataclass
 class Result:
     """``profiles`` by candidate_id with field_confidence and notes; ``records`` if a config was given; ``drops`` are all
-    dropped claims, also those of records of which nothing was kept."""
+    dropped claims, also those of records of which nothing was kept; ``failed`` are sources that no adapter could read to
+    the end (name, reason)."""
 
     profiles: DataFrame
     drops: DataFrame
+    failed: DataFrame
     records: DataFrame | None = None
     config: Config | None = None
 
@@ -73,13 +75,14 @@ def transform(sources: DataFrame, config: dict | Config | None = None, default_c
 def transform_claims(claims: DataFrame, config: dict | Config | None = None, default_country: str | None = None) -> Result:
     """``transform`` from stored claims, such as those that ``streaming.ingest`` gathers."""
     parsed = parse_config(config) if config is not None and not isinstance(config, Config) else config
+    claims, failed = split_errors(claims)
     normalized, drops = normalize_claims(claims, default_country)
     cluster = cut(resolve(normalized), "clusters")
     fused = profiles(normalized.join(cluster, "rec"))
     notes = drops.join(cluster, "rec").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rec", "emit_ord", "message"))), lambda n: n["message"]).alias("notes"))
     out = fused.join(notes, "cluster", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>"))).drop("cluster")
     out = cut(out, "profiles")
-    return Result(out, drops, project(out, parsed) if parsed else None, parsed)
+    return Result(out, drops, failed, project(out, parsed) if parsed else None, parsed)
 
 
 

@@ -1,16 +1,18 @@
 """Adapters: a source -> atomic claims (record, path, value, method). One Arrow pass over the sources.
 
 Row order matters to the fusion step, so every claim carries ``seq``: source, record and position together.
-An adapter that fails yields what it had; it never ends the run.
+An adapter that fails yields what it had, and a row with ``error``; it never ends the run.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ..functions.scalars import base_confidence
 CLAIMS = (
     "source_ord long, record_idx long, emit_ord long, path string, v_str string, v_num double, "
     "v_exp struct<company:string,title:string,start:string,end:string,summary:string>, "
-    "v_edu struct<institution:string,degree:string,field:string,end_year:string>, src_type string, src_name string, method string, raw string"
+    "v_edu struct<institution:string,degree:string,field:string,end_year:string>, src_type string, src_name string, method string, raw string, error string"
 )
 Claim = tuple[int, str, object, str]  # record, path, value, method
 
@@ -302,29 +304,38 @@ def from_resume(text: str) -> Iterator[Claim]:
 ADAPTERS: dict[str, Callable[[str], Iterator[Claim]]] = {"csv": from_csv, "ats_json": from_ats, "github": from_github, "notes": from_notes, "linkedin": from_notes, "resume": from_resume}
 
 
-def claims_of(kind: str, content: str) -> list[Claim]:
+def read(kind: str, content: str) -> tuple[list[Claim], str | None]:
+    """Claims of a source, and what stopped its adapter."""
     out: list[Claim] = []
     try:
         out.extend(ADAPTERS[kind](content) if kind in ADAPTERS else [])
-    except Exception:  # noqa: BLE001 - a source that can't be read adds nothing and never ends the run
-        pass
-    return out
+    except Exception as e:  # noqa: BLE001 - a source that can't be read adds nothing more and never ends the run
+        return out, f"{type(e).__name__}: {e}"
+    return out, None
+
+
+def claims_of(kind: str, content: str) -> list[Claim]:
+    return read(kind, content)[0]
 
 
 def extract(sources: DataFrame) -> DataFrame:
-    """Claims of all sources, with record_id, seq and base confidence."""
+    """Claims of all sources, with record_id, seq and base confidence, and a row with ``error`` for each that an adapter could
+    not read to its end (see ``split_errors``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("source_ord", pa.int64()), ("record_idx", pa.int64()), ("emit_ord", pa.int64()), ("path", pa.string()), ("v_str", pa.string()), ("v_num", pa.float64()),
             ("v_exp", pa.struct([(k, pa.string()) for k in ("company", "title", "start", "end", "summary")])),
             ("v_edu", pa.struct([(k, pa.string()) for k in ("institution", "degree", "field", "end_year")])),
-            ("src_type", pa.string()), ("src_name", pa.string()), ("method", pa.string()), ("raw", pa.string()),
+            ("src_type", pa.string()), ("src_name", pa.string()), ("method", pa.string()), ("raw", pa.string()), ("error", pa.string()),
         ])
         for b in batches:
             for s in b.to_pylist():
                 rows = []
-                for k, (rec, path, v, method) in enumerate(claims_of(s["type"], s["content"] or "")):
+                found, error = read(s["type"], s["content"] or "")
+                if error:
+                    rows.append({"source_ord": s["source_ord"], "record_idx": 0, "src_type": s["type"], "src_name": s["name"], "error": error})
+                for k, (rec, path, v, method) in enumerate(found):
                     num = float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
                     raw = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
                     rows.append({
@@ -340,3 +351,13 @@ def extract(sources: DataFrame) -> DataFrame:
         F.concat(F.col("src_type"), F.lit(":"), F.col("src_name"), F.lit("#"), F.col("record_idx").cast("string")).alias("record_id"),
         (F.shiftleft(F.col("source_ord"), 32) + F.col("record_idx")).alias("rec"), "*", base_confidence(F.col("src_type"), F.col("method")).alias("confidence"),
     )
+
+
+def split_errors(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, failed): failed is (name, reason) of sources."""
+    failed = extracted.where("error IS NOT NULL").select(F.col("src_name").alias("name"), F.col("error").alias("reason"))
+    return extracted.where("error IS NULL").drop("error"), failed
+
+
+for _module in (__name__, dims.__name__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])  # executors need no copy of this package

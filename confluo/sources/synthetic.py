@@ -6,6 +6,9 @@ is built from the numbers of its people, without a shuffle.
 
 from __future__ import annotations
 
+import os
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,18 @@ def sources(spark: SparkSession, n: int, per_file: int = 500) -> DataFrame:
     source = lambda k, kind, name, content: F.struct((F.col("id") * 2 + k).alias("source_ord"), F.lit(kind).alias("type"), F.format_string(name, "id").alias("name"), content.alias("content"))
     both = F.array(source(0, "csv", "table-%05d.csv", table), source(1, "ats_json", "objects-%05d.json", objects))
     return files.select(F.explode(both).alias("s")).select("s.source_ord", "s.type", "s.name", F.col("s.name").alias("path"), "s.content")
+
+
+def write(spark: SparkSession, n: int, folder: str, per_file: int = 500) -> list[str]:
+    """The sources of ``n`` people as files of a local folder, one at a time; ``python -m confluo.sources.synthetic N FOLDER``."""
+    made = []
+    os.makedirs(folder, exist_ok=True)
+    for s in sources(spark, n, per_file).orderBy("source_ord").toLocalIterator():
+        made.append(os.path.join(folder, s["name"]))
+        with open(made[-1], "w", encoding="utf-8", newline="") as f:
+            f.write(s["content"])
+    return made
+
+
+if __name__ == "__main__":
+    print(*write(SparkSession.builder.getOrCreate(), int(sys.argv[1]), sys.argv[2]), sep="\n")

@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from confluo.cli import main
 from confluo.operators.graph import components, shared_key_components
+from confluo.operators.order import numbered
 from confluo.plans.project import ProjectionError, parse_config, parse_path, project, to_records, validate_records
 from confluo.plans.transform import CANONICAL, from_memory, transform, validate
 from confluo.sources import synthetic
@@ -128,14 +130,53 @@ def test_two_records_make_one_person(spark):
 
 def test_load(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    for name, text in {"a.csv": CSV, "sub/c.json": GIT, "b.json": ATS, "my_resume.md": CV, "x.docx": "x", "y.bin": "x", "n.txt": "﻿Name: A"}.items():
+    for name, text in {"a.csv": CSV, "sub/c.json": GIT, "b.json": ATS, "my_resume.md": CV, "x.docx": "x", "y.bin": "x", "n.txt": "﻿Name: A", "_under.csv": CSV, "sub/_x/d.txt": "Name: B", ".dot.csv": CSV, "sub/.git/e.txt": "x"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     src, skipped = load_sources(spark, [str(tmp_path), str(tmp_path / "absent.csv")])
-    assert [(r.name, r.type) for r in src.orderBy("source_ord").collect()] == [("a.csv", "csv"), ("b.json", "ats_json"), ("c.json", "github"), ("my_resume.md", "resume"), ("n.txt", "notes")]
+    assert [(r.name, r.type) for r in src.orderBy("source_ord").collect()] == [("_under.csv", "csv"), ("a.csv", "csv"), ("b.json", "ats_json"), ("c.json", "github"), ("d.txt", "notes"), ("my_resume.md", "resume"), ("n.txt", "notes")]
+    assert src.where("path LIKE '%/sub/_x/d.txt' OR path LIKE '%/_under.csv'").count() == 2 and [r.source_ord for r in src.orderBy("source_ord").collect()] == list(range(7))
     assert {r.name for r in skipped.collect()} == {"x.docx", "y.bin", "absent.csv"}
     assert not src.where(F.col("content").startswith("﻿")).count()
 
 
+def test_pdf_with_an_extractor(spark, tmp_path):
+    (tmp_path / "cv.pdf").write_bytes(b"%PDF " + CV.encode())
+    assert {r.reason for r in load_sources(spark, [str(tmp_path)])[1].collect()} == {"no PDF text extractor is configured"}
+    src, skipped = load_sources(spark, [str(tmp_path)], F.pandas_udf(lambda s: s.map(lambda b: b[5:].decode()), "string"))
+    assert skipped.count() == 0 and transform(src).profiles.first()["full_name"] == "Ana Weber"
+
+
+def test_sources_that_cannot_be_read_are_reported(spark):
+    r = transform(from_memory(spark, [("csv", "a.csv", CSV), ("github", "b.json", "{"), ("github", "c.json", '{"user": {"name": "Ana", "login": "x"}, "repos": [{"language": 5}]}')]))
+    assert {x["name"] for x in r.failed.collect()} >= {"b.json"} and r.profiles.count() >= 1
+
+
+def test_numbers_follow_the_order(spark):
+    r = random.Random(2)
+    rows = [(f"{r.randrange(10**6)}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "name string, i long").repartition(7)
+    got = sorted((x["n"], x["name"], x["i"]) for x in numbered(df, ["name", "i"], "n").collect())
+    assert [(a, b) for _, a, b in got] == sorted(rows) and [n for n, _, _ in got] == list(range(5000))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    made = synthetic.write(spark, 5, str(tmp_path / "in"), 3)
+    (tmp_path / "in" / "bad.docx").write_text("x")
+    (tmp_path / "c.json").write_text(json.dumps({"fields": [{"path": "mail", "from": "emails[0]", "type": "string"}]}))
+    assert len(made) == 4 and main(["-i", str(tmp_path / "in"), "-o", str(tmp_path / "out.json")]) == 0
+    text = (tmp_path / "out.json").read_text()
+    assert len(json.loads(text)) == 5 and text.startswith("[\n  {") and text.endswith("]\n")
+    assert capsys.readouterr().err.splitlines() == ["5 profile(s) from 4 source(s)", "skipped bad.docx: DOCX is not supported; export it as PDF or text"]
+    assert main(["-i", str(tmp_path / "in"), "-c", str(tmp_path / "c.json"), "--compact", "--quiet"]) == 0
+    said = capsys.readouterr()
+    assert sorted(x["mail"] for x in json.loads(said.out)) == [f"p{i}@people.example" for i in range(5)] and said.out.count("\n") == 1 and said.err == ""
+    assert main(["-i", str(tmp_path / "in"), "-o", str(tmp_path / "lines") + "/", "--quiet"]) == 0
+    assert spark.read.text(str(tmp_path / "lines")).count() == 5
+    (tmp_path / "c.json").write_text("{}")
+    assert main(["-i", str(tmp_path / "in"), "-c", str(tmp_path / "c.json")]) == 1 and "Invalid output config" in capsys.readouterr().err
+
+
 def test_empty(spark):
     r = transform(from_memory(spark, [("csv", "a.csv", ""), ("github", "b.json", "{")]))
     assert r.profiles.count() == 0 and r.diagnostics().count() == 0

@@ -17,3 +17,8 @@ def test_files_that_arrive_later_join_the_same_profile(spark, tmp_path):
     assert first == 2 and claims.count() == 5
     (p,) = transform_claims(claims).profiles.collect()
     assert p["emails"] == ["ana@x.io"] and p["skills"][0]["name"] == "Kubernetes"
+    (folder / "0.csv").write_text("Name,Email\nBo,bo@x.io\n")
+    ingest(spark, f"file://{folder}", out, check).awaitTermination()
+    order = {r["src_name"]: r["source_ord"] for r in stored(spark, out).select("src_name", "source_ord").distinct().collect()}
+    assert order == {"0.csv": 0, "a.csv": 1, "b.json": 2}  # by base names, whenever they came
+    assert transform_claims(stored(spark, out)).profiles.count() == 2
