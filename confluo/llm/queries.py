@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import chat, decontaminate, near_dup, pieces, pii, quality, token_store, topk, toxicity, url_filter
 
-MODULES = [pieces, topk, token_store, url_filter, toxicity, near_dup, pii, pieces, pii, quality, chat, decontaminate]
+MODULES = [pieces, topk, token_store, url_filter, toxicity, near_dup, pii, quality, chat, decontaminate]
 
 
 def queries() -> dict:
