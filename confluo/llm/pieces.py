@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import groups, ship, table, trim, worker_cache
 
 THETA = 2e-4
-NODES_KEPT = 1_000_000
-CHARS = 1 << 21
+NODES_KEPT = 600_000
+CHARS = 1 << 20
 CHUNK = 1 << 16
 RUN = 1 << 14
 BITS = 24
@@ -329,7 +329,7 @@ def encode(docs: DataFrame, model: str, theta: float = THETA, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = worker_cache(("pieces", model, theta), lambda: Pieces(model, theta))
-        for part in groups(batches, "text"):
+        for part in groups(batches, "text", 256, 1 << 20):
             texts = part["text"].to_pylist()
             ids = pieces.sample([t or "" for t in texts], [k or 0 for k in part["key"].cast(pa.int64()).to_pylist()])
             same = [None if t is None else pieces.decode(x) == t for t, x in zip(texts, ids, strict=True)]
