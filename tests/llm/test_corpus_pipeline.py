@@ -29,7 +29,7 @@ def folder(spark, tmp_path_factory):
     docs[2] = (2, said(300) + " " + LEAK.upper() + ". " + said(300))  # a passage in a long document
     docs[3] = (3, said(20) + " " + LEAK)  # mostly benchmark
     docs[4] = (4, said(30) + " card 4041894974608795, mail a.b@mail.example.com, tel +1 (988) 555-2485 and 1984-02-29")
-    long = said(20_000)
+    long = said(2_000)
     docs += [(500, docs[0][1]), (501, docs[0][1] + " more"), (502, None), (503, ""), (0, docs[0][1]), (None, said(40)), (None, None), (504, long), (505, long + " x")]
     labels += [(7, None, None), (0, 1, 0)]
     at = str(tmp_path_factory.mktemp("corpus"))
