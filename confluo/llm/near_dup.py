@@ -199,14 +199,15 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def _bucketed(buckets: DataFrame, full: DataFrame) -> DataFrame:
-    """``buckets`` (key, ...) with the columns of ``full`` (key, size, ...; kept in storage) of their key; a bucket of many rows
-    is spread by a salt. Its keys are few: at most ``HOT_KEYS``, as larger buckets count as hot if there are more."""
+def _bucketed(buckets: DataFrame, full: DataFrame, key: str = "key") -> DataFrame:
+    """``buckets`` (``key``, id, ...) with the columns of ``full`` (``key``, size, ...; kept in storage) of their key; a key of many
+    rows is spread by a salt, the hash of id. Such keys are few: at most ``HOT_KEYS``, as larger ones count as hot if there
+    are more."""
     hot_at = max(HOT, (full.agg(F.sum("size")).first()[0] or 0) // HOT_KEYS)
     splits = F.ceil(F.col("size") / hot_at).cast("int")
-    hot = full.where(F.col("size") > hot_at).select("key", splits.alias("splits"))
-    salted = buckets.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("splits", F.lit(1))).cast("int")).drop("splits")
-    return salted.join(full.withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))), ["key", "salt"]).drop("salt")
+    hot = full.where(F.col("size") > hot_at).select(key, splits.alias("splits"))
+    salted = buckets.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("splits", F.lit(1))).cast("int")).drop("splits")
+    return salted.join(full.withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))), [key, "salt"]).drop("salt")
 
 
 def _opened(held: DataFrame, label: DataFrame) -> DataFrame:
@@ -298,7 +299,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rows = cut(sketches(docs), "sketches")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     # One node per distinct set, named by its smallest doc_id.
-    nodes = cut(some.groupBy("fp").agg(F.min(F.struct("doc_id", "regs", "n")).alias("s")).select(F.col("s.doc_id").alias("id"), "fp", "s.regs", "s.n"), "nodes")
+    nodes = cut(some.groupBy("fp").agg(F.min(F.struct("doc_id", "regs", "n")).alias("s"), F.count("*").alias("size")).select(F.col("s.doc_id").alias("id"), "fp", "s.regs", "s.n", "size"), "nodes")
     buckets = band_rows(nodes)
     full = cut(buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"), "full")
     held = cut(_bucketed(buckets, full), "buckets")
@@ -307,8 +308,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     held = _opened(held.where("size > 2"), label)
     if not held.isEmpty():
         label = cut(components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(_across(held, nodes, docs))), "labels")
-    named = nodes.select("fp", "id").join(label, "id", "left").select("fp", F.coalesce("label", "id").alias("label"))
-    out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"), "text_hash").join(named, "fp", "left")
+    named = cut(nodes.select("fp", "id", "size").join(label, "id", "left").select("fp", "size", F.coalesce("label", "id").alias("label")), "named")
+    rows = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"), "text_hash")
+    linked = _bucketed(rows.where("fp IS NOT NULL").withColumn("id", F.monotonically_increasing_id()), named, "fp").drop("id", "size")
+    out = linked.unionByName(rows.where("fp IS NULL").withColumn("label", F.lit(None).cast("long")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), "fp", "text_hash")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
