@@ -189,6 +189,21 @@ def label_lines(spark, d):
     return claims.select(F.col("source_ord").alias("p_partkey"), F.col("emit_ord").alias("pos"), "path", F.col("v_str").alias("value"), "method", "confidence")
 
 
+def resume_claims(spark, d):
+    """Suppliers as résumés: contacts, a name line, and three sections."""
+    k, n, t = F.col("s_suppkey"), F.col("s_nationkey"), F.lit
+    lines = [
+        F.concat(F.expr("char(65 + s_nationkey)"), t("na Mill")), F.concat(t("s"), k.cast("string"), t("@mill.example | +44 7400 "), F.lpad(k.cast("string"), 6, "0")), t(""), t("Skills:"), F.concat(t("Tools: Go, Loom "), n.cast("string")),
+        t("Work Experience"), F.concat(t("Engineer at Firm "), n.cast("string"), t(" (Jan 2020 - present)")), F.concat(t("Intern - Mill "), k.cast("string"), t(" (06/2018 - 12/2018)")), t("no dates here"), t("EDUCATION"),
+        F.concat(t("Uni "), n.cast("string"), t(" — MSc in Physics, "), (n + 1990).cast("string")),
+    ]
+    claims = _extracted(spark, table(spark, d, "supplier"), "resume", "s_suppkey", F.concat_ws("\n", *lines))
+    return claims.select(
+        F.col("source_ord").alias("s_suppkey"), F.col("emit_ord").alias("pos"), "path", F.col("v_str").alias("value"), F.coalesce("v_exp.company", "v_edu.institution").alias("place"), F.coalesce("v_exp.title", "v_edu.degree").alias("title"),
+        F.coalesce("v_exp.start", "v_edu.field").alias("about"), F.coalesce("v_exp.end", "v_edu.end_year").alias("until"), "method", "confidence",
+    )
+
+
 def csv_roundtrip(spark, d):
     """Nations rendered as one CSV text with awkward quoting, and parsed back by the CSV scan."""
     cell = F.concat(F.lit('"'), F.regexp_replace("n_name", '"', '""'), F.lit(',""x""\n"'))
@@ -240,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         extract_emails, extract_phones, norm_urls, norm_month, extract_year, norm_name, fold_company, parse_props, base_confidence, noisy_or_agg, pick_multi, pick_single, pick_display,
-        coalesce_merge, strong_key_cc_docs, strong_key_cc, weak_attach, candidate_id, split_list, label_lines, csv_roundtrip, transform_people, profile_contacts,
+        coalesce_merge, strong_key_cc_docs, strong_key_cc, weak_attach, candidate_id, split_list, label_lines, resume_claims, csv_roundtrip, transform_people, profile_contacts,
     ]
 }
 
@@ -294,6 +309,14 @@ SELECT c_custkey, CASE WHEN n = 1 THEN first WHEN rich THEN c_custkey ELSE poor
   {{'pos': 3, 'path': 'location.city', 'value': p_type}}, {{'pos': 4, 'path': 'location.country', 'value': 'Germany'}}], recursive := true) FROM part)""",
     "csv_roundtrip": "SELECT n_nationkey, n_name || ',\"x\"' || chr(10) AS cell, n_regionkey FROM nation",
 }
+_ROW = "SELECT s_suppkey, {0}::BIGINT AS pos, '{1}' AS path, {2} AS value, {3} AS place, {4} AS title, {5} AS about, {6} AS until, '{7}' AS method, " + _R4.format("0.75::DOUBLE * {8}::DOUBLE") + " AS confidence FROM supplier"
+_RESUME = [
+    ("email", "'s' || s_suppkey || '@mill.example'", "NULL", "NULL", "NULL", "NULL", "regex_extraction"), ("phone", "'+44 7400 ' || lpad(s_suppkey::VARCHAR, 6, '0')", "NULL", "NULL", "NULL", "NULL", "regex_extraction"),
+    ("full_name", "chr(65 + s_nationkey) || 'na Mill'", "NULL", "NULL", "NULL", "NULL", "heuristic"), ("skill", "'Go'", "NULL", "NULL", "NULL", "NULL", "labeled_field"), ("skill", "'Loom ' || s_nationkey", "NULL", "NULL", "NULL", "NULL", "labeled_field"),
+    ("education", "NULL", "'Uni ' || s_nationkey", "'MSc'", "'Physics'", "(s_nationkey + 1990)::VARCHAR", "regex_extraction"),
+    ("experience", "NULL", "'Firm ' || s_nationkey", "'Engineer'", "'Jan 2020'", "'present'", "regex_extraction"), ("experience", "NULL", "'Mill ' || s_suppkey", "'Intern'", "'06/2018'", "'12/2018'", "regex_extraction"),
+]
+SQL["resume_claims"] = " UNION ALL ".join(_ROW.format(i, *r, dims.METHOD_TRUST[r[-1]]) for i, r in enumerate(_RESUME))
 _ID = f"'cand_' || lpad(lower(to_hex({_FNV})), 16, '0')"
 SQL["transform_people"] = f"""WITH p AS (SELECT i, hex(encode(email)) AS h, email FROM (SELECT i, 'p' || lower(to_base(i, 36)) || '@people.example' AS email FROM range(500) t(i)))
 SELECT {_ID} AS candidate_id, {synthetic.GIVEN}[i % {len(synthetic.GIVEN)} + 1] || ' ' || {synthetic.FAMILY}[i % {len(synthetic.FAMILY)} + 1] AS full_name, email, '+447' || lpad((i + 400000000)::VARCHAR, 9, '0') AS phone,
