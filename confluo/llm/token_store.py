@@ -13,7 +13,7 @@ again, on any storage that Spark knows). A row holds whole documents in ascendin
 A block's width is that of its 90th percentile after the minimum is taken off; larger values are exceptions.
 
 Defined results: a null text is encoded as an empty one (one end id); repeated rows each keep their ids; rows
-of one doc_id go by their texts; a null doc_id sorts first.
+of one doc_id go by a hash of their texts, then by the texts; a null doc_id sorts first.
 """
 
 from __future__ import annotations
@@ -383,8 +383,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             yield close()
         trim()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")  # many rows of one doc_id are parted
+    dealt.select("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -136,7 +136,8 @@ def test_token_store(spark, tmp_path):
     got = token_store.read(spark, out).orderBy("start").collect()
     assert len(got) == len(rows) and [x.doc_id for x in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
     at = 0
-    texts = sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], x[1] or ""))
+    h = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    texts = sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], h[x[1]], x[1] or ""))
     for x, (_, text) in zip(got, texts, strict=True):
         ids = np.asarray([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         assert (x.start, x.n_tokens, x.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
