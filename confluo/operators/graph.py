@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ from .storage import cut
 ONE_TASK_EDGES = 500_000  # 8 MB: up to here one executor task walks the edges; beyond, all executors step together
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a bounded number of edges."""
+ONE_TASK_KEYS = 250_000  # the same bound for rows of a node and a key
+
+
+def _labels(pairs: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+    """Union-find over a bounded number of pairs."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -23,12 +28,21 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[up]
         return x
 
-    for b in batches:
-        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
-            u, v = top(u), top(v)
-            parent[max(u, v)] = min(u, v)
+    for u, v in pairs:
+        u, v = top(u), top(v)
+        parent[max(u, v)] = min(u, v)
     ids = np.fromiter(parent, np.int64, len(parent))
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([top(i) for i in ids.tolist()], pa.int64())], ["id", "label"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([top(i) for i in ids.tolist()], pa.int64())], ["id", "label"])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _labels(p for b in batches for p in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True))
+
+
+def _walk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node is tied to the first one of its key."""
+    first: dict = {}
+    yield _labels((n, first.setdefault(k, n)) for b in batches for n, k in zip(b["node"].to_pylist(), b["key"].to_pylist(), strict=True))
 
 
 def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
@@ -57,11 +71,16 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
         before = now
 
 
-def shared_key_components(rows: DataFrame, node: str, key: str) -> DataFrame:
+def shared_key_components(rows: DataFrame, node: str, key: str, one_task_keys: int = ONE_TASK_KEYS) -> DataFrame:
     """Components of nodes (long) that share a key: each node is tied to the smallest node of each of its keys, so a key
-    of n nodes costs n edges, not n squared. Nodes without a partner keep their own label."""
-    rows = cut(rows, "keys")  # read three times
-    first = rows.groupBy(key).agg(F.min(node).alias("b"))
-    edges = rows.join(first, key).select(F.col(node).alias("a"), "b")
-    label = components(edges)
-    return rows.select(F.col(node).alias("id")).distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    of n nodes costs n edges, not n squared. Nodes without a partner keep their own label; rows without a key are left out. Up to ``one_task_keys`` rows,
+    counted first, a single executor task walks them without a shuffle."""
+    rows = cut(rows.select(F.col(node).cast("long").alias("node"), F.col(key).alias("key")).where("node IS NOT NULL AND key IS NOT NULL"), "keys")
+    if rows.count() <= one_task_keys:
+        return rows.coalesce(1).mapInArrow(lambda batches: _walk_keys(batches), "id long, label long")
+    first = rows.groupBy("key").agg(F.min("node").alias("b"))
+    label = components(rows.join(first, "key").select(F.col("node").alias("a"), "b"))
+    return rows.select(F.col("node").alias("id")).distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
