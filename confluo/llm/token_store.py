@@ -18,6 +18,7 @@ of one doc_id go by a hash of their texts, then by the texts; a null doc_id sort
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -360,6 +361,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would hold memory of its own
         encoder = worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer))
         end = np.asarray([end_id], np.uint32)
         shard, seg, offset = TaskContext.get().partitionId(), 0, 0

@@ -1,9 +1,11 @@
 """Pieces, top-k, token blocks, toxicity, near duplicates, quality."""
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,22 @@ def test_blocks():
     assert (token_store.unpack(payload, starts, 2, 3) == np.arange(256, 384)).all()
 
 
+def test_token_store_starts_no_threads(spark, tmp_path):
+    def count(batches):
+        import numpy  # noqa: F401  which starts its own
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(os.listdir("/proc/self/task"))], pa.int64())], ["n"])
+
+    def most():
+        return spark.range(0, 64, 1, 4).mapInArrow(count, "n long").agg(F.max("n")).first()[0]
+
+    before = most()
+    docs = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.hex(F.xxhash64("id", F.lit(k))) for k in range(20)]).alias("text"))
+    token_store.write(docs, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json"))
+    assert most() == before
+
+
 def test_token_store(spark, tmp_path):
     from tokenizers import Tokenizer
 
