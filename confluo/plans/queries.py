@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators.fuse import experience_groups, profiles, value_groups
 from ..operators.graph import shared_key_components
 from ..operators.resolve import resolve
-from ..operators.storage import cut
+from ..operators.storage import cut, spread
 from ..sources import synthetic
 from ..sources.adapters import extract, parse_csv, parts, split_errors, swept
 from . import people
@@ -74,8 +74,8 @@ def fold_company(spark, d):
 
 
 def _extracted(spark, rows: DataFrame, kind: str, ordinal: str, content) -> DataFrame:
-    """Claims of one source per row."""
-    return split_errors(extract(rows.select(F.col(ordinal).cast("long").alias("source_ord"), F.lit(kind).alias("type"), F.lit("s").alias("name"), content.alias("content"))))[0]
+    """Claims of one source per row. The rows are dealt to all cores: a table in one small file would be one task's."""
+    return split_errors(extract(spread(rows, ordinal).select(F.col(ordinal).cast("long").alias("source_ord"), F.lit(kind).alias("type"), F.lit("s").alias("name"), content.alias("content"))))[0]
 
 
 def parse_props(spark, d):
