@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..operators.storage import spread
 from .project import parse_config, project, to_records, validate_records
 from .transform import Result, transform, validate, violations
 
@@ -33,18 +34,22 @@ def sources(spark, d) -> DataFrame:
         F.array(F.struct(_text("Uni %d", n).alias("school"), F.lit("MSc").alias("degree"), F.lit("in 2012").alias("graduated"))).alias("education"),
         F.struct(_text("Town %d", n).alias("city"), F.lit("DE").alias("country")).alias("location"),
     )
-    rows = c.withColumns({"file": F.floor(k / PER_FILE), "line": line, "account": account})
-    table = F.concat(F.lit(HEADER + "\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "\n"))
-    accounts = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", "account"))), lambda r: r["account"]))
-    one = lambda kind, first, name, at, content: F.struct((F.lit(first) + at).cast("long").alias("source_ord"), F.lit(kind).alias("type"), _text(name, at).alias("name"), content.alias("content"))
-    csv = rows.groupBy("file").agg(table.alias("t")).select(one("csv", 0, "customers-%d.csv", F.col("file"), F.col("t")).alias("s"))
-    ats = rows.where(k % 2 == 0).groupBy("file").agg(accounts.alias("t")).select(one("ats_json", 1_000_000, "accounts-%d.json", F.col("file"), F.col("t")).alias("s"))
     user = F.struct(_text("c%d", k).alias("login"), F.col("name"), F.lit("builds things").alias("bio"), _text("Town %d, Germany", n).alias("location"), _text("www.site%d.example/me", k).alias("blog"), _text("@Firm %d", n).alias("company"))
     repos = F.array(F.struct(F.lit("Rust").alias("language"), F.lit(False).alias("fork")), F.struct(F.lit("Go").alias("language"), F.lit(True).alias("fork")))
-    host = rows.where(k % 10 == 0).select(one("github", 10_000_000, "github-%d.json", k, F.to_json(F.struct(user.alias("user"), repos.alias("repos")))).alias("s"))
     told = _text("Name: %s\nEmail: c%d@shop.example\nSkills: Go, Sailing\nLocation: Town %d\nSee https://www.site%d.example/me and https://other%d.example/x\nMet after 12 years of work. Currently an Engineer at Firm %d.", F.col("name"), k, n, k, k, n)
-    notes = rows.where(k % 25 == 0).select(one("notes", 20_000_000, "note-%d.txt", k, told).alias("s"))
-    return csv.union(ats).union(host).union(notes).select("s.source_ord", "s.type", "s.name", F.col("s.name").alias("path"), "s.content")
+    one = lambda kind, first, name, at, content: F.struct((F.lit(first) + at).cast("long").alias("source_ord"), F.lit(kind).alias("type"), _text(name, at).alias("name"), content.alias("content"))
+    held = {
+        "lines": F.struct("k", line.alias("v")), "accounts": F.when(k % 2 == 0, F.struct("k", account.alias("v"))),
+        "hosts": F.when(k % 10 == 0, one("github", 10_000_000, "github-%d.json", k, F.to_json(F.struct(user.alias("user"), repos.alias("repos"))))), "notes": F.when(k % 25 == 0, one("notes", 20_000_000, "note-%d.txt", k, told)),
+    }
+    # dealt by file before the texts are made, so that all cores make and read them, however small the table
+    rows = spread(c.withColumn("file", F.floor(k / PER_FILE)), "file").select("file", *[v.alias(name) for name, v in held.items()])
+    files = rows.groupBy("file").agg(*[F.collect_list(name).alias(name) for name in held])
+    ordered = lambda name: F.transform(F.array_sort(name), lambda r: r["v"])
+    csv = one("csv", 0, "customers-%d.csv", F.col("file"), F.concat(F.lit(HEADER + "\n"), F.array_join(ordered("lines"), "\n")))
+    ats = F.when(F.size("accounts") > 0, one("ats_json", 1_000_000, "accounts-%d.json", F.col("file"), F.to_json(ordered("accounts"))))
+    each = F.array_compact(F.concat(F.array(csv, ats), "hosts", "notes"))
+    return files.select(F.explode(each).alias("s")).select("s.source_ord", "s.type", "s.name", F.col("s.name").alias("path"), "s.content")
 
 
 def run(spark, d, config: dict | None = None) -> Result:

@@ -12,11 +12,12 @@ from ..operators.graph import shared_key_components
 from ..operators.resolve import resolve
 from ..operators.storage import cut, spread
 from ..sources import synthetic
-from ..sources.adapters import extract, parse_csv, parts, split_errors, swept
+from ..sources.adapters import emails_in, extract, parse_csv, parts, phones_in, split_errors
 from . import people
 from .transform import CANONICAL, transform, violations
 
 EMAIL, PHONE = dims.EMAIL, dims.PHONE
+SWEEPS = {"email": emails_in, "phone": phones_in}
 PLAN = "|".join(f"{k}(?:{p})" for k, (_, p) in dims.CALLING.items())
 METHOD = {"click": "structured_field", "view": "api_field", "signup": "labeled_field", "purchase": "regex_extraction", "error": "heuristic"}
 
@@ -25,17 +26,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _swept(docs: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, raw): what the notes adapter sweeps out of each text."""
+def _swept(docs: DataFrame, *kinds: str) -> DataFrame:
+    """(doc_id, kind, raw): what the notes adapter sweeps out of each text. One pass, that seeks these kinds only."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            found = [(d, v) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for p, v in swept(t or "") if p == kind]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([v for _, v in found], pa.string())], ["doc_id", "raw"])
+            found = [(d, k, v) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for k in kinds for v in SWEEPS[k](t or "")]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "kind", "raw"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, raw string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, raw string")
 
 
 def extract_emails(spark, d):
@@ -137,10 +139,10 @@ def coalesce_merge(spark, d):
 
 
 def _doc_keys(spark, d):
-    docs = table(spark, d, "documents")
-    mails = _swept(docs, "email").select("doc_id", F.concat(F.lit("email:"), S.normalize_email(F.col("raw"))).alias("key"))
-    phones = _swept(docs, "phone").select("doc_id", F.concat(F.lit("phone:"), S.normalize_phone(F.col("raw"))).alias("key"))
-    return mails.union(phones).where("key IS NOT NULL").distinct()
+    raw, mail = F.col("raw"), F.col("kind") == "email"
+    value = F.when(mail, S.normalize_email(raw)).otherwise(S.normalize_phone(raw))
+    swept = _swept(table(spark, d, "documents"), "email", "phone")
+    return swept.select("doc_id", F.concat("kind", F.lit(":"), value).alias("key")).where("key IS NOT NULL").distinct()
 
 
 def strong_key_cc_docs(spark, d):
@@ -232,7 +234,7 @@ def transform_people(spark, d):
 
 def flagship(spark, d):
     """Documents as records: contacts swept, normalized, linked by shared keys, fused into profiles."""
-    keys = _doc_keys(spark, d)
+    keys = cut(_doc_keys(spark, d), "keys")  # read twice; the texts are swept once
     label = shared_key_components(keys, "doc_id", "key")
     value = F.split_part("key", F.lit(":"), F.lit(2))
     claims = keys.join(label, F.col("doc_id") == F.col("id")).select(

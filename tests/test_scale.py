@@ -29,3 +29,10 @@ def test_a_small_file_is_dealt_to_all_cores(spark, tmp_path):
     spark.range(200).select(F.col("id").alias("p_partkey"), *[F.lit("x y").alias(c) for c in ("p_name", "p_brand", "p_type")]).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert spread(spark.range(9), "id").rdd.getNumPartitions() == 12
     assert queries.label_lines(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_a_text_is_swept_once_for_all_its_keys(spark, tmp_path):
+    spark.createDataFrame([(i, f"mail a{i % 3}@b.co or +44 7400 12345{i % 5}") for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    keys = queries._doc_keys(spark, str(tmp_path))
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and keys.count() == 40
+    assert queries.profile_contacts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1  # the walk over the keys
