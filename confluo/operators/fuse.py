@@ -1,17 +1,25 @@
 """Entities -> profiles: aggregation by entity, corroboration, ranking, assembly.
 
-Claims are dealt by entity once; every aggregate, window and join after that is by entity too, so none of them shuffles
-again. A value's contributors are sorted and walked once, so one that many sources back costs time in proportion to them. What one entity has is one task's: its profile is one row.
+Claims are dealt and sorted by entity once, and each entity's are walked once, in Arrow batches (``fused``). ``value_groups``,
+``experience_groups`` and ``education_groups`` state the same groups as aggregates and windows over columns. A value's contributors are sorted and walked once, so one that many sources back costs time in proportion to them. What one entity has is one task's: its profile is one row.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import scalars as S
+from .storage import spread
 
 SINGLES = ["full_name", "headline", "years_experience", "location.city", "location.region", "location.country", "links.linkedin", "links.github", "links.portfolio"]
 MULTIS = ["email", "phone", "links.other", "skill"]
@@ -107,14 +115,157 @@ def _provenance(field: Column, by: Column) -> Column:
     return F.transform(first, lambda c: F.struct(field.alias("field"), c["src_id"].alias("source"), c["method"].alias("method")))
 
 
+def _round(miss: float) -> float:
+    c = 1.0 - miss
+    return math.floor((0.0 if c != c else min(1.0, max(0.0, c))) * 1e4 + 0.5) / 1e4
+
+
+def _backed(said: set[tuple]) -> tuple[list[tuple], float, int]:
+    """Sorted contributors, ``corroborate``d confidence, number of sources."""
+    by = sorted(said, key=lambda c: [(x is not None, x) for x in c]) if len(said) > 1 else list(said)
+    best: dict = {}
+    for src, _, conf in by:
+        conf = 0.0 if conf is None or conf != conf else min(1.0, max(0.0, conf))
+        best[src] = max(best.get(src, conf), conf)
+    miss = 1.0
+    for conf in best.values():
+        miss *= 1.0 - conf
+    return by, _round(miss), len(best)
+
+
+def _ranked_values(rows: list[tuple]) -> Iterator[tuple[str, list[tuple]]]:
+    """(path, [(entry, by, confidence)]) of one entity, ranked as in ``value_groups``. Rows: path, key, value, contributor, trust."""
+    groups: dict = {}
+    for path, key, value, said, trusted in rows:
+        g = groups.setdefault(path, {}).setdefault(key, (set(), set(), []))
+        g[0].add(value)
+        g[1].add(said)
+        g[2].append(trusted)
+    for path, of in groups.items():
+        out = []
+        for values, said, trusts in of.values():
+            shown = min(values, key=lambda v: (-sum("A" <= ch <= "Z" for ch in v), v)) if len(values) > 1 else next(iter(values))
+            by, conf, n = _backed(said)
+            out.append(((-conf, -n, -max((t for t in trusts if t is not None), default=-math.inf), shown), ((shown,), by, conf)))
+        yield path, [g for _, g in sorted(out, key=lambda x: x[0])]
+
+
+def _merged(rows: list[tuple], width: int) -> list[tuple]:
+    """(entry, by, confidence, seq) of rows (c, t, seq, entry, contributor) merged by c and t; a field is the first that is not null."""
+    groups: dict = {}
+    for row in rows:
+        groups.setdefault(row[:2], []).append(row)
+    out = []
+    for of in groups.values():
+        of.sort(key=lambda r: r[2])
+        entry = tuple(next((r[3][i] for r in of if r[3][i] is not None), None) for i in range(width))
+        out.append((entry, *_backed({r[4] for r in of})[:2], of[0][2], of))
+    return out
+
+
+def _roles(rows: list[tuple]) -> list[tuple]:
+    """Entries as in ``experience_groups``."""
+    host: dict = {}
+    for c, t, seq, _, _ in rows:
+        if t and (c not in host or (seq, t) < host[c]):
+            host[c] = (seq, t)
+    placed = [(c, host[c][1], (True, *seq), e, said) if not t and c and c in host else (c, t, (False, *seq), e, said) for c, t, seq, e, said in rows]
+    out = [((*e[:3], "present" if any(r[3][3] == "present" for r in of) else e[3], e[4]), by, conf, seq) for e, by, conf, seq, of in _merged(placed, 5)]
+    out.sort(key=lambda g: (g[0][0] or "", g[3]))
+    out.sort(key=lambda g: (g[0][3] == "present", "0000-00" if g[0][2] is None else g[0][2]), reverse=True)
+    return out
+
+
+def _schools(rows: list[tuple]) -> list[tuple]:
+    """Entries as in ``education_groups``."""
+    return sorted(_merged(rows, 4), key=lambda g: (-(g[0][3] or 0), g[3]))
+
+
+class _Groups:
+    """Lists of (entry, contributors, confidence), gathered column by column."""
+
+    def __init__(self, *fields: tuple[str, pa.DataType]):
+        self.fields, self.entries, self.conf, self.by, self.by_at, self.at = fields, [[] for _ in fields], [], ([], [], []), [0], [0]
+
+    def add(self, groups: list[tuple]) -> None:
+        for entry, by, conf, *_ in groups:
+            for column, x in zip(self.entries, entry, strict=True):
+                column.append(x)
+            for c in by:
+                for column, x in zip(self.by, c, strict=True):
+                    column.append(x)
+            self.by_at.append(len(self.by[0]))
+            self.conf.append(conf)
+        self.at.append(len(self.conf))
+
+    def lists(self) -> pa.ListArray:
+        by = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(self.by, (pa.string(), pa.string(), pa.float64()), strict=True)], ["src_id", "method", "confidence"])
+        entry = [pa.array(c, t) for c, (_, t) in zip(self.entries, self.fields, strict=True)]
+        held = ("value", entry[0]) if len(entry) == 1 else ("entry", pa.StructArray.from_arrays(entry, [n for n, _ in self.fields]))
+        each = pa.StructArray.from_arrays([held[1], pa.ListArray.from_arrays(pa.array(self.by_at, pa.int32()), by), pa.array(self.conf, pa.float64())], [held[0], "by", "confidence"])
+        return pa.ListArray.from_arrays(pa.array(self.at, pa.int32()), each)
+
+
+_BY = "by:array<struct<src_id:string,method:string,confidence:double>>,confidence:double"
+_FUSED = (
+    f"cluster long, first_record string, v map<string,array<struct<value:string,{_BY}>>>, x array<struct<entry:struct<company:string,title:string,start:string,end:string,summary:string>,{_BY}>>, "
+    f"d array<struct<entry:struct<institution:string,degree:string,field:string,end_year:int>,{_BY}>>"
+)
+_COLUMNS = ["cluster", "rec", "emit_ord", "record_id", "path", "key", "value", "src_id", "method", "confidence", "trust", "kind", "c", "t", "e0", "e1", "e2", "e3", "e4", "year"]
+ENTITIES = 1_000  # of an Arrow batch
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The claims of one entity after the other, from batches in the order of entities."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(b[c].to_pylist() for c in _COLUMNS), strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims in the order of entities -> what the profile of each is made of; one entity is held at a time."""
+    text = lambda *names: [(n, pa.string()) for n in names]
+    every = _entities(batches)
+    while some := list(islice(every, ENTITIES)):
+        values, roles, schools = _Groups(("value", pa.string())), _Groups(*text("company", "title", "start", "end", "summary")), _Groups(*text("institution", "degree", "field"), ("end_year", pa.int32()))
+        paths, at, first = [], [0], []
+        for claims in some:
+            said, jobs, studies = [], [], []
+            for _, rec, emit, _, path, key, value, src, method, conf, trusted, kind, c, t, *e, year in claims:
+                by = (src, method, conf)
+                if value is not None:
+                    said.append((path, key, value, by, trusted))
+                if kind == "x":
+                    jobs.append((c, t, (rec, emit), e, by))
+                elif kind == "d":
+                    studies.append((c, t, (rec, emit), (*e[:3], year), by))
+            for path, groups in _ranked_values(said):
+                paths.append(path)
+                values.add(groups)
+            at.append(len(paths))
+            roles.add(_roles(jobs))
+            schools.add(_schools(studies))
+            first.append(min((r[1], r[3]) for r in claims)[1])
+        v = pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(paths, pa.string()), values.lists())
+        yield pa.RecordBatch.from_arrays([pa.array([claims[0][0] for claims in some], pa.int64()), pa.array(first, pa.string()), v, roles.lists(), schools.lists()], ["cluster", "first_record", "v", "x", "d"])
+
+
 def profiles(claims: DataFrame) -> DataFrame:
     """One row per entity: the canonical profile, field_confidence map and cluster. ``claims`` has ``cluster``."""
-    values = value_groups(claims).groupBy("cluster", "path").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "by", "confidence"))).alias("g"))
-    v = values.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("path", "g"))).alias("v"))
-    kinds = [g.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "entry", "by", "confidence"))).alias(kind)) for kind, g in (("x", experience_groups(claims)), ("d", education_groups(claims)))]
-    df = claims.select("cluster", "rec", "record_id").repartition("cluster").groupBy("cluster").agg(F.min(F.struct("rec", "record_id"))["record_id"].alias("first_record"))
-    for part in (v, *kinds):
-        df = df.join(part, "cluster", "left")
+    job, school = F.col("exp").isNotNull(), F.col("edu").isNotNull()
+    both = lambda e, d: F.when(job, F.col(f"exp.{e}")).otherwise(F.col(f"edu.{d}"))
+    rows = claims.select(
+        "cluster", "rec", "emit_ord", "record_id", "path", fold_case(claims).alias("key"), "value", "src_id", "method", "confidence", trust(F.col("src_type")).alias("trust"), F.when(job, "x").when(school, "d").alias("kind"),
+        F.when(job | school, F.coalesce(S.fold_company(both("company", "institution")), F.lit(""))).alias("c"), F.when(job | school, F.regexp_replace(F.lower(F.coalesce(both("title", "degree"), F.lit(""))), "[^a-z0-9]", "")).alias("t"),
+        both("company", "institution").alias("e0"), both("title", "degree").alias("e1"), both("start", "field").alias("e2"), F.col("exp.end").alias("e3"), F.col("exp.summary").alias("e4"), F.col("edu.end_year").alias("year"),
+    )
+    df = spread(rows, "cluster").sortWithinPartitions("cluster").mapInArrow(lambda batches: fused(batches), _FUSED)
 
     def ranked(path: str) -> Column:
         return F.coalesce(F.try_element_at("v", F.lit(path)), F.array())
@@ -166,3 +317,6 @@ def profiles(claims: DataFrame) -> DataFrame:
         val("headline").alias("headline"), val("years_experience").cast("double").alias("years_experience"), skills.alias("skills"), "experience", "education", "provenance",
         F.when(weight > 0, S.round4(S.clamp01(weighted / F.when(weight > 0, weight)))).otherwise(0.0).alias("overall_confidence"), "field_confidence", "cluster",
     )
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

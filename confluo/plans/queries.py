@@ -235,7 +235,7 @@ def transform_people(spark, d):
 def flagship(spark, d):
     """Documents as records: contacts swept, normalized, linked by shared keys, fused into profiles."""
     keys = cut(_doc_keys(spark, d), "keys")  # read twice; the texts are swept once
-    label = shared_key_components(keys, "doc_id", "key")
+    label = cut(shared_key_components(keys, "doc_id", "key"), "labels")
     value = F.split_part("key", F.lit(":"), F.lit(2))
     claims = keys.join(label, F.col("doc_id") == F.col("id")).select(
         F.col("label").alias("cluster"), F.col("doc_id").alias("rec"), F.concat(F.lit("notes:doc"), F.col("doc_id").cast("string"), F.lit("#0")).alias("record_id"), F.xxhash64("key").alias("emit_ord"),
